@@ -1,9 +1,11 @@
 """The queries of the ten operators, by name."""
 
-from matrixloom.llm import exact_dedup, sharding
+from matrixloom.llm import exact_dedup, language_id, quality, sharding
 
 QUERIES = {
+    "op2_language_id": language_id.op2_language_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_quality_ranking": quality.op4_quality_ranking,
     "op8_rendezvous_shards": sharding.op8_rendezvous_shards,
 }
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.SQL}
