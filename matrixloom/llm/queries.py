@@ -1,8 +1,9 @@
 """The queries of the ten operators, by name."""
 
-from matrixloom.llm import bpe, elias_fano, exact_dedup, html_text, language_id, packing, quality, sharding, simhash
+from matrixloom.llm import bpe, elias_fano, exact_dedup, html_text, language_id, multi_index, packing, quality, sharding, simhash
 
 QUERIES = {
+    "op1_inverted_multi_index": multi_index.op1_inverted_multi_index,
     "op2_language_id": language_id.op2_language_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_quality_ranking": quality.op4_quality_ranking,
