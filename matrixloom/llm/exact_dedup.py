@@ -22,6 +22,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: About so many rows of 64-digit digests are one bucket file.
 ROWS_A_BUCKET = 2_000_000
 LEAST_BUCKETS = 12
+#: Ids of dropped rows up to which they are broadcast, 8 bytes each.
+BROADCAST_IDS = 500_000
 
 
 def digest(text: Column) -> Column:
@@ -78,6 +80,14 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """The rows that stay, with all their columns."""
+    verdicts = exact_dedup(docs, index)
+    gone = cut(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "copies")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti").select(*[docs[c] for c in docs.columns])
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -277,6 +277,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows with a language that has at least `least` of the letters, with all their columns."""
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lang, score = shared.value.label([x if isinstance(x, str) else None for x in pdf["text"]])
+            yield pdf.loc[(np.array(lang, object) != "und") & (np.array(score) >= least), names]
+
+    return docs.mapInPandas(run, docs.schema)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")

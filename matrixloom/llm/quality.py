@@ -143,6 +143,18 @@ def predict(docs: DataFrame, ranker: Ranker) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double")
 
 
+def keep_good(docs: DataFrame, ranker: Ranker) -> DataFrame:
+    """The rows that score CUT or more, with all their columns."""
+    shared, names = docs.sparkSession.sparkContext.broadcast(ranker), docs.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.array([features(t if isinstance(t, str) else None) for t in pdf["text"]]).reshape(-1, len(FEATURES))
+            yield pdf.loc[shared.value.score(x) >= CUT, names]
+
+    return docs.mapInPandas(run, docs.schema)
+
+
 def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
