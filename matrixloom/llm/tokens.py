@@ -20,7 +20,7 @@ PLAIN = re.compile("[\t-\r\x20-~ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØ
 BYTE_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:_|[^\s\w])+|\s+(?!\S)|\s+")
 WORD_END = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:_|[^\s\w])+")
 #: Words that a worker remembers.
-CACHED = 600_000
+CACHED = 400_000
 
 
 def visible_bytes() -> dict[int, int]:
