@@ -34,7 +34,9 @@ from matrixloom.llm.common import cut, table
 K, SAMPLE, ROUNDS = 64, 20_000, 10
 SHARE, LEAST, TOP = 0.5, 2000, 20
 #: Vectors of a block, and queries of a chunk.
-BLOCK, CHUNK = 8192, 1024
+BLOCK, CHUNK = 4096, 512
+#: Queries that one task walks.
+WALKS = 128
 
 
 def centroids(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
@@ -163,7 +165,8 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
     codes.lay(counts, block)
     want = max(least, int(share * total))
     queries = asked.groupBy("key").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("n"))
-    chunks = max(1, -(-queries.count() // chunk))
+    n_queries = queries.count()
+    chunks = max(1, -(-n_queries // chunk))
     shared = spark.sparkContext.broadcast(codes)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,7 +207,8 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
                 out += [(key, float(v), ids[a]) for v, a in zip(exact, at, strict=True)]
         return pd.DataFrame(out, columns=["key", "score", "ids"])
 
-    routed = queries.select("key", "x").mapInPandas(route, "block long, chunk long, key string, x binary, cells binary")
+    dealt = queries.select("key", "x").repartition(max(1, -(-n_queries // WALKS)), "key")
+    routed = dealt.mapInPandas(route, "block long, chunk long, key string, x binary, cells binary")
     placed = coded.mapInPandas(place, "key string, x binary, ids array<long>, cell long, block long").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
     found = routed.groupBy("block", "chunk").cogroup(placed.groupBy("block", "chunk")).applyInPandas(rerank, "key string, score double, ids array<long>")
     flat = found.select("key", "score", F.explode("ids").alias("vec_id"))
