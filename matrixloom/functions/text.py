@@ -80,3 +80,11 @@ def xorshift64(x: C) -> Column:
     x = x.bitwiseXOR(F.shiftleft(x, 13))
     x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
     return x.bitwiseXOR(F.shiftleft(x, 17))
+
+
+def kr_hash(s: C) -> Column:
+    """Kernighan and Ritchie's hash over UTF-8 bytes, 31 h + byte from 0, modulo 2^32."""
+    data = F.hex(column(s).cast("binary"))
+    codes = F.transform(F.sequence(F.lit(1), F.length(data) - 1, F.lit(2)), lambda i: F.conv(F.substring(data, i, 2), 16, 10).cast("long"))
+    start = F.lit(0).cast("long")
+    return F.when(F.length(data) == 0, start).otherwise(F.aggregate(codes, start, lambda h, c: (h * 31 + c) % (1 << 32)))

@@ -68,3 +68,30 @@ def even_parts(df: DataFrame, bucket: Column, order: list[str], parts: int, name
     placed = prefix_count(df, bucket, order, "_at")
     rest = F.floor((at - big) / F.lit(max(q, 1))) + r
     return placed.withColumn(name, F.when(at < big, F.floor(at / F.lit(q + 1))).otherwise(rest).cast("long")).drop("_at")
+
+
+def prefix_max(df: DataFrame, bucket: Column, order: list[str], value: str, name: str) -> DataFrame:
+    """`name`: the largest `value` (null counts as none) of the row and all before it."""
+    keyed = df.withColumn("_b", bucket)
+    over = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = keyed.groupBy("_b").agg(F.max(value).alias("_m")).select("_b", F.max("_m").over(over).alias("_before"))  # a row for each bucket
+    own = F.max(value).over(Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return keyed.withColumn("_own", own).join(tops, "_b").withColumn(name, F.greatest("_before", "_own")).drop("_b", "_own", "_before")
+
+
+def as_of(left: DataFrame, right: DataFrame, value: str, name: str, buckets: int = 64) -> DataFrame:
+    """left with `name`: the largest `value` of right that is not over the row's own; null if all are.
+    A binary search in a sorted column, for columns of any length on both sides."""
+    marks = right.select(F.col(value).cast("double").alias("_v")).distinct().select("_v", F.col("_v").alias("_mark"), F.lit(0).alias("_side"))
+    rows = left.select(F.col(value).cast("double").alias("_v"), F.lit(None).cast("double").alias("_mark"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
+    both = rows.unionByName(marks.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)))
+    found = prefix_max(both, value_bucket(rows, "_v", buckets), ["_v", "_side"], "_mark", name)
+    return found.where("_side = 1").select("_row.*", name)
+
+
+def bucket_sort(df: DataFrame, key: str, order: list[str], name: str = "place") -> DataFrame:
+    """`name`: the row's place, from 0, in a stable sort by `key`, whose values are few enough for a table of their counts."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(key, F.coalesce(F.sum("_n").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    at = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    return df.withColumn("_at", at).join(starts, key).withColumn(name, F.col("_start") + F.col("_at")).drop("_at", "_start")

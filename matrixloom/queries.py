@@ -398,6 +398,30 @@ def bounded_median(spark, d) -> Frame:
     return rounded(hist.bounded_median(table(spark, d, "part"), "p_retailprice", "p_size", 10), 9)
 
 
+@query('select o_orderkey i, o_custkey v, (sum(o_custkey) over (order by o_orderkey))::bigint forward, (sum(o_custkey) over (order by o_orderkey desc) - o_custkey)::bigint backward from orders')
+def prefix_scans(spark, d) -> Frame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_custkey").alias("v"))
+    both = scan.prefix_sum(o, scan.id_bucket("i"), ["i"], "v", "forward", exclusive=False)
+    return scan.prefix_sum(both, scan.id_bucket("i"), ["i"], "v", "backward", backward=True)
+
+
+@query('select c_custkey i, c_acctbal v, (select max(s_acctbal) from supplier where s_acctbal <= c_acctbal) below from customer')
+def as_of_lookup(spark, d) -> Frame:
+    left = table(spark, d, "customer").select(F.col("c_custkey").alias("i"), F.col("c_acctbal").alias("v"))
+    return scan.as_of(left, table(spark, d, "supplier").select(F.col("s_acctbal").alias("v")), "v", "below")
+
+
+@query('select o_orderkey i, o_orderpriority k, row_number() over (order by o_orderpriority, o_orderkey) - 1 place from orders')
+def bucket_sort(spark, d) -> Frame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_orderpriority").alias("k"))
+    return scan.bucket_sort(o, "k", ["i"])
+
+
+@query("select n_nationkey i, list_reduce(list_prepend(0::bigint, list_transform(range(1, length(n_name) + 1), lambda k: ascii(n_name[k])::bigint)), lambda h, c: (h * 31 + c) % 4294967296) h from nation")
+def kr_hash(spark, d) -> Frame:
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("i"), T.kr_hash("n_name").alias("h"))
+
+
 # -- metrics ------------------------------------------------------------------------------------
 
 
