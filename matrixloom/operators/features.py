@@ -77,7 +77,7 @@ def cross_row_matches(a: SparseFrame, window: int = 1) -> DataFrame:
     semi-join: buckets of window + 1 columns, and their two neighbours, make it an equi-join."""
     rows = next_filled_row(a)
     width = window + 1
-    here = a.entries.join(rows.select("row", "next_row"), "row").where("next_row is not null").select("row", "col", "next_row", F.monotonically_increasing_id().alias("at"))
+    here = a.entries.join(rows.select("row", "next_row"), "row").where("next_row is not null").select("row", "col", "next_row")
     left = here.withColumn("band", F.floor(F.col("col") / width))
     there = a.entries.select(F.col("row").alias("next_row"), F.col("col").alias("other")).distinct()
     right = there.withColumn("band", F.explode(F.array(*[(F.floor(F.col("other") / width) + i).cast("long") for i in (-1, 0, 1)])))

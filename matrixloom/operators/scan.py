@@ -30,8 +30,8 @@ def with_next(df: DataFrame, bucket: Column, order: list[str], value: str, name:
     edge = keyed.groupBy("_b").agg((F.max if back else F.min)(key).alias("_e"))
     step = F.lag if back else F.lead
     beyond = edge.select("_b", step(F.col("_e")["value"]).over(Window.orderBy("_b")).alias("_beyond"))  # a row for each bucket
-    near = step(F.col(value)).over(Window.partitionBy("_b").orderBy(*order))
-    at_edge = F.row_number().over(Window.partitionBy("_b").orderBy(*[F.col(c).asc() if back else F.col(c).desc() for c in order])) == 1
+    own = Window.partitionBy("_b").orderBy(*order)
+    near, at_edge = step(F.col(value)).over(own), step(F.lit(True)).over(own).isNull()
     return keyed.withColumns({"_near": near, "_edge": at_edge}).join(beyond, "_b").withColumn(name, F.when(F.col("_edge"), F.col("_beyond")).otherwise(F.col("_near"))).drop("_b", "_near", "_edge", "_beyond")
 
 
