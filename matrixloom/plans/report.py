@@ -116,6 +116,11 @@ def with_sparsity_level(runs: DataFrame, value: str = "sparsity") -> DataFrame:
     return runs.withColumn("sparsity_level", level)
 
 
+def with_counters(runs: DataFrame, counters: DataFrame) -> DataFrame:
+    """runs with the columns of a table of measured counters (as spark.read.csv gives it), by matrix, format and k; null where none was taken."""
+    return runs.join(counters, ["matrix", "format", "k"], "left")
+
+
 def arithmetic_intensity(runs: DataFrame) -> DataFrame:
     """Operations of a product over the bytes that it must move at least."""
     moved = 8 * F.col("nnz") + 4 * (F.col("rows") + 1) + 4.0 * F.col("k") * (F.col("rows") + F.col("cols"))

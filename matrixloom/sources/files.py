@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +54,39 @@ def read_tokens(spark: SparkSession, path: str, kind: str = "word") -> DataFrame
     return lines.select(F.explode({"word": T.words, "csv": T.csv_fields}[kind]("value")).alias("token"))
 
 
+def read_ppm(spark: SparkSession, path: str) -> DataFrame:
+    """y, x, r, g, b (0 ... depth), depth: the pixels of P3 (text) and P6 (bytes) images; # begins a comment."""
+
+    def run(batches):
+        for pdf in batches:
+            for raw in pdf["content"]:
+                head = re.match(rb"(P[36])" + rb"(?:\s+(?:#[^\n]*\n\s*)*)(\d+)" * 3 + rb"\s", raw)
+                if not head:
+                    raise ValueError("no P3 or P6 image")
+                w, h, depth = (int(x) for x in head.groups()[1:])
+                rest = raw[head.end() :]
+                if head[1] == b"P3":
+                    values = np.array(re.sub(rb"#[^\n]*", b"", rest).split()[: 3 * w * h], np.int64)
+                else:
+                    values = np.frombuffer(rest, np.uint8 if depth < 256 else ">u2", 3 * w * h).astype(np.int64)
+                rgb = values.reshape(h * w, 3)
+                yield pd.DataFrame({"y": np.repeat(np.arange(h), w), "x": np.tile(np.arange(w), h), "r": rgb[:, 0], "g": rgb[:, 1], "b": rgb[:, 2], "depth": depth})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "y long, x long, r long, g long, b long, depth long")
+
+
+def write_ppm(pixels: DataFrame, path: str, width: int, height: int, depth: int = 255) -> None:
+    """A folder of text parts that read as one P3 image in the parts' order: pixels y, x, r, g, b; those not given are white."""
+    spark = pixels.sparkSession
+    head = spark.createDataFrame([(f"P3\n{width} {height}\n{depth}",)], "value string").coalesce(1)
+    text = F.format_string("%d %d %d", *[F.coalesce(c, F.lit(depth)) for c in ("r", "g", "b")])
+    known = pixels.groupBy("y").agg(F.map_from_entries(F.collect_list(F.struct("x", text.alias("t")))).alias("cells"))  # a row of an image
+    white = F.lit(" ".join([str(depth)] * 3))
+    rows = spark.range(height).withColumnRenamed("id", "y").join(known, "y", "left")
+    line = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")), lambda x: F.coalesce(F.try_element_at("cells", x), white)), " ")
+    head.unionByName(rows.orderBy("y").select(line.alias("value"))).write.mode("overwrite").text(path)
+
+
 ROOFLINE = "empirical struct<gflops: struct<data: array<array<string>>>, gbytes: struct<data: array<array<string>>>>"
 
 

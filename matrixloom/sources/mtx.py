@@ -106,6 +106,13 @@ def read_complex(spark: SparkSession, path: str) -> DataFrame:
     return _body(spark, path).select((p[0].cast("long") - 1).alias("row"), (p[1].cast("long") - 1).alias("col"), F.struct(p[2].cast("double").alias("re"), p[3].cast("double").alias("im")).alias("val"))
 
 
+def write_complex(entries: DataFrame, m: int, n: int, path: str) -> None:
+    """entries: row, col, val (struct of re, im)."""
+    head = entries.sparkSession.createDataFrame([(f"%%MatrixMarket matrix coordinate complex general\n{m} {n} {entries.count()}",)], "value string")
+    line = F.format_string("%d %d %s %s", F.col("row") + 1, F.col("col") + 1, F.col("val.re").cast("string"), F.col("val.im").cast("string"))
+    head.coalesce(1).unionByName(entries.select(line.alias("value"))).write.mode("overwrite").text(path)
+
+
 def write_mtx(a: SparseFrame, path: str, field: str = "real", order: bool = True) -> None:
     """A folder of text parts: the header's part comes first, and the parts' order is that of (row, col)."""
     nnz = a.nnz()

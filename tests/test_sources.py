@@ -100,3 +100,26 @@ def test_pivot_of_repeats_is_an_error(spark):
     rows = spark.createDataFrame([("m", "f", 16, 1.0), ("m", "f", 16, 2.0)], "matrix string, format string, k int, gflops double")
     with pytest.raises(Exception, match="two values"):
         report.pivot_gflops(rows, ["f_16"]).collect()
+
+
+def test_ppm(spark, tmp_path):
+    pixels = spark.createDataFrame([(0, 1, 10, 20, 30), (1, 0, 0, 0, 0)], "y long, x long, r long, g long, b long")
+    files.write_ppm(pixels, str(tmp_path / "out"), 2, 2)
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    got = {(r["y"], r["x"]): (r["r"], r["g"], r["b"]) for r in files.read_ppm(spark, put(tmp_path, text, "a.ppm")).collect()}
+    assert got == {(0, 0): (255, 255, 255), (0, 1): (10, 20, 30), (1, 0): (0, 0, 0), (1, 1): (255, 255, 255)}
+    (tmp_path / "b.ppm").write_bytes(b"P6 # binary\n2 1\n255\n" + bytes([1, 2, 3, 4, 5, 6]))
+    assert [tuple(r) for r in files.read_ppm(spark, str(tmp_path / "b.ppm")).orderBy("x").collect()] == [(0, 0, 1, 2, 3, 255), (0, 1, 4, 5, 6, 255)]
+
+
+def test_complex_round_trip(spark, tmp_path):
+    e = spark.createDataFrame([(0, 1, (1.5, -2.0)), (3, 0, (0.0, 4.0))], "row long, col long, val struct<re:double,im:double>")
+    mtx.write_complex(e, 4, 2, str(tmp_path / "c"))
+    assert sorted(mtx.read_complex(spark, str(tmp_path / "c")).collect()) == sorted(e.collect())
+    assert cells(mtx.read_mtx(spark, str(tmp_path / "c"))[1]) == {(0, 1): 2.5, (3, 0): 4.0}
+
+
+def test_counters(spark, tmp_path):
+    runs = spark.createDataFrame([("m", "f", 16, 1.0), ("n", "f", 16, 2.0)], "matrix string, format string, k int, gflops double")
+    counters = spark.read.csv(put(tmp_path, "matrix,format,k,bytes\nm,f,16,77\n", "c.csv"), header=True, schema="matrix string, format string, k int, bytes long")
+    assert {r["matrix"]: r["bytes"] for r in report.with_counters(runs, counters).collect()} == {"m": 77, "n": None}
