@@ -51,7 +51,7 @@ CLOSES = {
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption tr tbody body html article main br hr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tooltip status".split())
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments commentlist disqus respond cookie cookies consent gdpr disclaimer footer foot menu menus nav navbar "
+    "ad ads adv advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments commentlist disqus respond reply replies responses reactions alert alerts cookie cookiebar cookiebanner cookies consent gdpr disclaimer footer foot menu menus nav navbar "
     "navigation navigational newsletter notice notices notification notifications pager pagination popup modal overlay promo promotion promoted related recommended recommendations share sharing shares sidebar sidebars aside skip social "
     "sponsor sponsored sponsors subscribe subscription signup login toolbar topbar widget widgets print hidden toc".split()
 )

@@ -17,6 +17,7 @@ are one node; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -32,24 +33,36 @@ from matrixloom.llm.graph import components, forest
 SEED, WIDTH, RADIUS = 42, 3, 2
 PIVOTS = 24
 LARGE = 2048
-#: Shingles hashed at once, so that a very long text needs no more memory.
-STEP = 1 << 18
+#: Bytes of a text that are split into words at once, so that a very long one needs no more memory.
+STEP = 1 << 20
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 FULL = (1 << 64) - 1
 
 
 def shingle_hashes(text: str | None, width: int = WIDTH) -> Iterator[np.ndarray]:
-    """XXH64 of every shingle, repeats included, STEP at a time."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and [\x20\x09-\x0D] only
-    if not words:
-        return
-    n = max(1, len(words) - width + 1)
-    for at in range(0, n, STEP):
-        part = words[at : min(at + STEP, n) + width - 1]
-        joined = b" ".join(part)
-        ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        a, b = starts[: min(STEP, n - at)].tolist(), ends[width - 1 :].tolist() or [len(joined)]
-        yield np.fromiter(map(xxhash.xxh64_intdigest, [joined[i:j] for i, j in zip(a, b, strict=True)], repeat(SEED)), np.uint64, len(a))
+    """XXH64 of every shingle, repeats included; words of about STEP bytes are held at a time."""
+    data = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes: A-Z only
+    kept: list[bytes] = []
+    at, made = 0, False
+    while at < len(data):
+        blank = BLANK.search(data, min(at + STEP, len(data)))
+        end = blank.start() if blank else len(data)
+        words = kept + data[at:end].split()  # bytes: at [\x20\x09-\x0D] only
+        at, n = end, len(words) - width + 1
+        kept = words[max(0, n) :]
+        if n > 0:
+            made = True
+            yield hashes(words, n, width)
+    if kept and not made:
+        yield hashes(kept, 1, len(kept))
+
+
+def hashes(words: list[bytes], n: int, width: int) -> np.ndarray:
+    """Of the n runs of `width` words."""
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
+    return np.fromiter(map(xxhash.xxh64_intdigest, [joined[i:j] for i, j in zip(starts, ends[width - 1 :].tolist(), strict=True)], repeat(SEED)), np.uint64, n)
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:

@@ -31,6 +31,18 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text) == brute_fingerprint(text)
 
 
+def test_long_texts_in_steps(monkeypatch):
+    monkeypatch.setattr(simhash, "STEP", 7)
+    for text in TEXTS[:-1]:
+        assert simhash.fingerprint(text) == brute_fingerprint(text)
+        assert np.array_equal(np.sort(np.concatenate([np.zeros(0, np.uint64), *simhash.shingle_hashes(text, 2)])), np.sort(np.concatenate([np.zeros(0, np.uint64), *whole(text, 2)])))
+
+
+def whole(text, width):
+    words = (text or "").encode().lower().split()
+    return [simhash.hashes(words, len(words) - width + 1, width)] if len(words) >= width else [simhash.hashes(words, 1, len(words))] if words else []
+
+
 def brute_components(fps, radius=2):
     root = {f: f for f in fps}
 
