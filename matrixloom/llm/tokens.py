@@ -9,6 +9,7 @@ same ids (tests compare them).
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +17,11 @@ import tokenizers
 
 #: Texts of these characters only are split here: for them Python's classes are those of the patterns.
 PLAIN = re.compile("[\t-\r\x20-~ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿŒœ¿¡«»]*")
-#: The split patterns of the two vocabularies, in Python's syntax.
-BYTE_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:_|[^\s\w])+|\s+(?!\S)|\s+")
-WORD_END = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:_|[^\s\w])+")
-#: Words that a worker remembers.
+#: The split patterns of the two vocabularies, for texts of PLAIN characters.
+LETTER = "A-Za-zÀ-ÖØ-öø-ÿŒœ"
+BYTE_LEVEL = re.compile(rf" ?[{LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^{LETTER}0-9\s]+|\s+(?!\S)|\s+")
+WORD_END = re.compile(rf"[{LETTER}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^{LETTER}0-9\s]+")
+#: Words that a worker remembers at least; at most twice as many.
 CACHED = 400_000
 
 
@@ -32,16 +34,26 @@ def visible_bytes() -> dict[int, int]:
 
 
 class Words(dict):
-    """word -> its ids as bytes; a word that is not there goes through the model."""
+    """word -> its ids as bytes; a word that is not there goes through the model. Words that weren't met
+    since the table was last full are forgotten."""
 
-    def __init__(self, model, kind: np.dtype):
-        self.model, self.kind, self.table = model, kind, visible_bytes()
+    def __init__(self, model, kind: str):
+        self.tokenize, self.kind, self.table = model.tokenize, kind, visible_bytes()
+        self.space, self.old = chr(self.table[32]), {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.table))]
-        got = self[word] = np.array(ids, self.kind).tobytes()
+        got = self.old.get(word)
+        if got is None:
+            seen = word.replace(" ", self.space) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.table)
+            got = array(self.kind, [t.id for t in self.tokenize(seen)]).tobytes()
+        self[word] = got
         return got
 
+    def trim(self) -> None:
+        if len(self) > CACHED:
+            self.old = dict(self)
+            self.clear()
+
 
 class Encoder:
     def __init__(self, path: str, pattern: re.Pattern):
@@ -51,7 +63,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.split, self.lower = pattern.findall, pattern == WORD_END  # not `is`: workers get copies
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words = Words(self.tokenizer.model, self.kind)
+        self.words = Words(self.tokenizer.model, self.kind.char)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of one whole text."""
@@ -59,8 +71,7 @@ class Encoder:
             return np.zeros(0, self.kind)
         if not PLAIN.fullmatch(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
-        if len(self.words) > CACHED:
-            self.words.clear()
+        self.words.trim()
         words = self.split(text.lower() if self.lower else text)
         return np.frombuffer(b"".join(map(self.words.__getitem__, words)), self.kind)
 
