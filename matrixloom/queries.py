@@ -623,7 +623,9 @@ FORMATS = ["MKL_IE", "DTC-1", "DTC-2", "GNN-Pilot-1", "GNN-Pilot-2", "dgSPARSE-4
 
 def runs(spark, d) -> DataFrame:
     """Log lines made of order lines, printed and parsed again."""
-    li, c = table(spark, d, "lineitem"), F.col
+    c = F.col
+    # the driver's table is one row group, so one task reads it; logs come as many files
+    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_linenumber", "l_quantity").repartition(spark.sparkContext.defaultParallelism)
     pid = c("l_partkey") % 12
     n = (1000 + 100 * pid).cast("long")
     name = F.concat(F.lit("./matrices/"), F.when(c("l_suppkey") % 2 == 0, "random_pruned_a").otherwise("window_mask_b"), F.lit("/m"), pid.cast("string"), F.lit(".mtx"))

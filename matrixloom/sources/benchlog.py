@@ -24,8 +24,11 @@ def line(*columns: Column) -> Column:
 def parse(lines: DataFrame, prefix: str = "", recode: dict[str, str] | None = None) -> DataFrame:
     """COLUMNS of the lines that match; others go. The matrix loses `prefix` and its extension; formats
     are recoded, those not named stay."""
-    m = lines.where(F.col("value").rlike(PATTERN))
-    out = m.select(*[F.regexp_extract("value", PATTERN, i + 1).cast(t).alias(n) for i, (n, t) in enumerate(COLUMNS)])
+    # one match a line: the groups come back joined, behind a mark that no other line begins with; as the
+    # row of a generator they aren't worked out anew for each column or filter that asks for one
+    joined = F.regexp_replace("value", PATTERN, "\u0002\u0001" + "\u0001".join(f"${i + 1}" for i in range(len(COLUMNS))))
+    parts = lines.select(F.explode(F.array(F.split(joined, "\u0001"))).alias("p")).where(F.get("p", F.lit(0)) == "\u0002")
+    out = parts.select(*[F.get("p", F.lit(i + 1)).cast(t).alias(n) for i, (n, t) in enumerate(COLUMNS)])
     name = F.regexp_replace(F.when(F.col("matrix").startswith(prefix), F.substring("matrix", len(prefix) + 1, 1_000_000)).otherwise(F.col("matrix")), r"(?<=[^/.])\.[^./]*$", "")
     out = out.withColumn("matrix", name)
     if recode:
