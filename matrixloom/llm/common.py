@@ -12,12 +12,23 @@ from pyspark.sql import functions as F
 DEFAULT_SHARED = "/tmp/checkpoints"
 #: A key counts as hot if it has over one row in so many; there are no more hot keys than this.
 HOT_SHARE = 1000
+#: Folders that shared_dir() named in this process.
+_named: list[str] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED
-    return f"{base.rstrip('/')}/{name}_{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}_{uuid.uuid4().hex}"
+    _named.append(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the folders that operators wrote in this process; results that still read them must be saved before."""
+    while _named:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_named.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

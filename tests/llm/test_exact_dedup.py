@@ -47,3 +47,15 @@ def test_drop_copies(docs):
     kept = X.drop_copies(docs(ROWS))
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["9", "2", "7", "7", "8"])
     assert kept.columns == docs(ROWS).columns
+
+
+def test_sweep(spark, docs):
+    import os
+
+    from matrixloom.llm import common
+
+    X.exact_dedup(docs(ROWS)).collect()
+    paths = [p for p in common._named if p.startswith("/")]
+    assert paths and any(os.path.isdir(p) for p in paths)
+    common.sweep(spark)
+    assert not common._named and not any(os.path.isdir(p) for p in paths)
