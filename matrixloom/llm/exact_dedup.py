@@ -22,8 +22,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: About so many rows of 64-digit digests are one bucket file.
 ROWS_A_BUCKET = 2_000_000
 LEAST_BUCKETS = 12
-#: Ids of dropped rows up to which they are broadcast, 8 bytes each.
-BROADCAST_IDS = 500_000
+#: Dropped rows up to which they are broadcast, about 100 bytes each.
+BROADCAST_COPIES = 200_000
 
 
 def digest(text: Column) -> Column:
@@ -81,11 +81,13 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows that stay, with all their columns."""
+    """The rows that stay, with all their columns. A row is told by id and digest: another text under
+    the id of a dropped copy stays."""
     verdicts = exact_dedup(docs, index)
-    gone = cut(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "copies")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti").select(*[docs[c] for c in docs.columns])
+    gone = cut(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "copies")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_COPIES else gone
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (digest(docs["text"]) == F.col("_sha"))
+    return docs.join(side, same, "left_anti").select(*[docs[c] for c in docs.columns])
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,8 @@ def test_drop_copies(docs):
     kept = X.drop_copies(docs(ROWS))
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["9", "2", "7", "7", "8"])
     assert kept.columns == docs(ROWS).columns
+    twice = X.drop_copies(docs([(1, "a"), (2, "a"), (2, "another text")]))
+    assert {(r["doc_id"], r["text"]) for r in twice.collect()} == {(1, "a"), (2, "another text")}
 
 
 def test_sweep(spark, docs):
