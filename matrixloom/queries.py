@@ -618,7 +618,7 @@ def random_permutation(spark, d) -> Frame:
 
 # -- runs ---------------------------------------------------------------------------------------
 
-FORMATS = ["MKL_IE", "DTC-1", "DTC-2", "GNN-Pilot-1", "GNN-Pilot-2", "dgSPARSE-4"]
+FORMATS = ["VENDOR_A", "TILED-1", "TILED-2", "PILOT-1", "PILOT-2", "WARP-4"]
 
 
 def runs(spark, d) -> DataFrame:
@@ -639,7 +639,7 @@ def runs(spark, d) -> DataFrame:
 
 RUNS = (
     "ru as (select case when l_suppkey % 2 = 0 then 'random_pruned_a' else 'window_mask_b' end || '/m' || (l_partkey % 12) matrix, 1000 + 100 * (l_partkey % 12) \"rows\", 1000 + 100 * (l_partkey % 12) cols, "
-    "((1000 + 100 * (l_partkey % 12)) * (1000 + 100 * (l_partkey % 12)) * (l_partkey % 12 + 1)) // 26 nnz, ['MKL_IE', 'DTC-1', 'DTC-2', 'GNN-Pilot-1', 'GNN-Pilot-2', 'dgSPARSE-4'][l_suppkey % 6 + 1] format, "
+    "((1000 + 100 * (l_partkey % 12)) * (1000 + 100 * (l_partkey % 12)) * (l_partkey % 12 + 1)) // 26 nnz, ['VENDOR_A', 'TILED-1', 'TILED-2', 'PILOT-1', 'PILOT-2', 'WARP-4'][l_suppkey % 6 + 1] format, "
     "(16 << (l_linenumber % 3))::int k, case when l_returnflag = 'A' then 'AMD-EPYC-24' else 'NVIDIA-A100' end system, l_quantity gflops from lineitem), "
     "av as (select matrix, format, system, k, any_value(\"rows\") \"rows\", any_value(cols) cols, any_value(nnz) nnz, avg(gflops) gflops, count(*) repeats from ru group by matrix, format, system, k), "
     "rv as (select *, round_even((8 * nnz + 4 * (\"rows\" + 1)) / 1048576, 4) mem_footprint, round_even((1 - nnz / (\"rows\"::double * cols)) * 100, 4) sparsity from av)"
@@ -681,7 +681,7 @@ def boxplot_data(spark, d) -> Frame:
     return rounded(report.boxplot(averages(spark, d), ["format"]))
 
 
-PIVOT = ["MKL_IE_16", "MKL_IE_32", "dgSPARSE-4_16"]
+PIVOT = ["VENDOR_A_16", "VENDOR_A_32", "WARP-4_16"]
 
 
 @query(f"with {RUNS}, x as (select * from rv where system = 'NVIDIA-A100') select matrix, " + ", ".join(f"round(max(gflops) filter (format || '_' || k = '{p}'), 6) \"{p}\"" for p in PIVOT) + " from x group by 1")
@@ -694,14 +694,14 @@ def melt_gflops(spark, d) -> Frame:
     return rounded(report.melt(averages(spark, d), ["matrix", "format", "system", "k"], ["gflops", "sparsity"]))
 
 
-@query(f"with {RUNS}, o as (select matrix, k, arg_min(format, (-gflops, format)) format from rv where system = 'NVIDIA-A100' and format like '%DTC%' group by all) select format, count(*) filter (k = 16) k16, count(*) filter (k = 32) k32, count(*) filter (k = 64) k64 from o group by 1")
+@query(f"with {RUNS}, o as (select matrix, k, arg_min(format, (-gflops, format)) format from rv where system = 'NVIDIA-A100' and format like '%TILED%' group by all) select format, count(*) filter (k = 16) k16, count(*) filter (k = 32) k32, count(*) filter (k = 64) k64 from o group by 1")
 def best_version_votes(spark, d) -> Frame:
-    return report.best_version_votes(averages(spark, d).where("system = 'NVIDIA-A100'"), "DTC", [16, 32, 64])
+    return report.best_version_votes(averages(spark, d).where("system = 'NVIDIA-A100'"), "TILED", [16, 32, 64])
 
 
-@query(f"with {RUNS} select matrix, format, system, k from rv where not (lower(format) like '%dtc%' and format != 'DTC-2') and not (lower(format) like '%gnn-pilot%' and format != 'GNN-Pilot-2')")
+@query(f"with {RUNS} select matrix, format, system, k from rv where not (lower(format) like '%tiled%' and format != 'TILED-2') and not (lower(format) like '%pilot%' and format != 'PILOT-2')")
 def drop_versions(spark, d) -> Frame:
-    return report.drop_versions(averages(spark, d), {"dtc": "DTC-2", "gnn-pilot": "GNN-Pilot-2"}).select("matrix", "format", "system", "k")
+    return report.drop_versions(averages(spark, d), {"tiled": "TILED-2", "pilot": "PILOT-2"}).select("matrix", "format", "system", "k")
 
 
 LEVELS = " ".join(f"when sparsity >= {a} and sparsity < {b} then '[{50 if a == 30 else a}-{b})'" for a, b in zip(report.SPARSITY_EDGES, report.SPARSITY_EDGES[1:], strict=False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A fixed format: the line that benchmark programs print.
+# The line that benchmark programs print, and the pattern that reads it.
 FORMAT = "%s kernel - matrix: %s (%d rows, %d cols, %d nnz), read: %.4f, coo_to_csr: %.4f, format_conversion: %.4f, format: %s, k: %d, system: %s, gflops: %.2f"
 PATTERN = (
     r"^(\w+) kernel - matrix: (\S+) \((\d+) rows, (\d+) cols, (\d+) nnz\), read: ([\d.]+), coo_to_csr: ([\d.]+), "
