@@ -4,9 +4,9 @@ A tolerant parser builds a tree of the page's block elements. What HTML itself o
 class or id marks as no part of the article (menus, headers, footers, sidebars, notices, adverts,
 forms, comments, ...) goes. Then Spark hashes element subtrees, counts for each host the pages that
 hold each, and deletes subtrees that recur on at least MIN_PAGES pages and MIN_SHARE of the host's
-pages. A subtree that holds half of the page's text, the article element itself and single text
-blocks (paragraphs, headings) of an article are never taken for template: pages that copy one
-another keep their text. As a template needs a share of its host's pages, a host has at most
+pages. A subtree that holds half of the page's text, the article element itself (without one, the
+innermost element with half of the text) and single text blocks (paragraphs, headings) in it are
+never taken for template: pages that copy one another keep their text. As a template needs a share of its host's pages, a host has at most
 (subtrees of an average page) / MIN_SHARE templates.
 
 Defined results: null or empty html gives the empty text; a null url is the host of no name; cut-off
@@ -213,12 +213,20 @@ def outer(node: Node, tag: str) -> list[Node]:
     return found
 
 
+def body(tree: Node) -> Node:
+    """For pages without an article element: the innermost element that isn't a text block and holds half of the text."""
+    node = tree
+    while inner := [c for c in node.children if type(c) is not str and not c.drop and c.size and c.size * 2 >= tree.size and (c.tag not in TEXT_BLOCKS or c.tag in ("html", "body"))]:
+        node = inner[0]
+    return node
+
+
 def candidates(tree: Node) -> dict[str, list[Node]]:
     """Subtrees that may be template, by key: with text, not half of the page's, no text block of an article."""
     total = max(1, tree.size)
-    article = {id(x) for x in roots(tree) if x is not tree}
+    article = {id(x) for x in roots(tree) if x is not tree} or {id(body(tree))}
     out: dict[str, list[Node]] = {}
-    todo = [(c, False) for c in tree.children if type(c) is not str]
+    todo = [(c, id(tree) in article) for c in tree.children if type(c) is not str]
     while todo:
         x, inside = todo.pop()
         if x.drop:

@@ -43,8 +43,8 @@ def test_templates_go(spark):
     pages += [(100 + i, "http://b.example.org/", SHELL.format("Alone here, with words enough to be a story")) for i in range(2)]
     pages += [(200, None, None), (201, "nonsense", ""), (None, "http://b.example.org/x", "<p>no id"), (5, "https://a.example.org/5", pages[5][2])]
     got = {(r["page_id"], r["url"]): (r["text"], r["n_chars"]) for r in H.extract_pages(site(spark, pages)).collect()}
-    own = "Story number 3 tells of many things that happened"
-    assert got[3, "https://A.example.org:80/3"] == (own, len(own))  # the shared line is template too: no article element guards it
+    own = "Story number 3 tells of many things that happened\nShared line."  # a text block where half of the text is stays
+    assert got[3, "https://A.example.org:80/3"] == (own, len(own))
     assert got[100, "http://b.example.org/"][0].startswith("Read our other stories")
     assert got[200, None] == ("", 0) and got[201, "nonsense"] == ("", 0) and got[None, "http://b.example.org/x"] == ("no id", 5)
 
@@ -55,6 +55,12 @@ def test_copies_of_an_article_stay(spark):
     assert {r["text"] for r in H.extract_pages(site(spark, pages)).collect()} == {"One\nThe same words."}
 
 
+def test_copies_without_an_article_stay(spark):
+    page = "<div><a href=/>Home of all things</a></div><div class=wrap><p>The same words, once more.</p><p>And again the same words.</p></div>"
+    pages = [(i, "http://d.example.org/", page) for i in range(10)]
+    assert {r["text"] for r in H.extract_pages(site(spark, pages)).collect()} == {"The same words, once more.\nAnd again the same words."}
+
+
 def test_hosts(spark):
     from pyspark.sql import functions as F
 
