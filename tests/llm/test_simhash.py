@@ -3,6 +3,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from matrixloom.llm import graph, near_dup, simhash
 
@@ -177,3 +178,12 @@ def test_large_buckets_keep_groups_together(monkeypatch, docs):
 def test_plan():
     bits, tables = near_dup.plan(1 << 20)
     assert bits == 17 and 60 < tables < 150
+
+
+def test_parts_of_a_large_bucket_all_meet(spark):
+    keyed = spark.createDataFrame([(1, i) for i in range(60)] + [(2, i) for i in range(100, 105)], "key long, node long")
+    met = set()
+    for r in near_dup.dealt(keyed, 16, 1).groupBy("key").agg(F.collect_list("node").alias("nodes")).collect():
+        assert len(r["nodes"]) < 60
+        met |= {(a, b) for a in r["nodes"] for b in r["nodes"] if a < b}
+    assert met == {(a, b) for a in range(60) for b in range(a + 1, 60)} | {(a, b) for a in range(100, 105) for b in range(a + 1, 105)}
