@@ -183,7 +183,23 @@ def test_plan():
 def test_parts_of_a_large_bucket_all_meet(spark):
     keyed = spark.createDataFrame([(1, i) for i in range(60)] + [(2, i) for i in range(100, 105)], "key long, node long")
     met = set()
-    for r in near_dup.dealt(keyed, 16, 1).groupBy("key").agg(F.collect_list("node").alias("nodes")).collect():
+    for r in near_dup.dealt(keyed, keyed, 16, 1).groupBy("key").agg(F.collect_list("node").alias("nodes")).collect():
         assert len(r["nodes"]) < 60
         met |= {(a, b) for a in r["nodes"] for b in r["nodes"] if a < b}
     assert met == {(a, b) for a in range(60) for b in range(a + 1, 60)} | {(a, b) for a in range(100, 105) for b in range(a + 1, 105)}
+
+
+def test_all_pairs_of_a_bucket_within_reach(spark):
+    rng = np.random.default_rng(5)
+    bits = np.repeat(rng.integers(0, 2, (1, 64 * near_dup.WORDS), dtype=np.uint8), 120, 0)
+    bits ^= (rng.random(bits.shape) < 0.05).astype(np.uint8)
+    fp = np.packbits(bits, axis=1, bitorder="little")
+    short = fp.view("<u8")[:, : near_dup.SENT]
+    node = np.arange(120)
+    for wide in (64, 200):  # by blocks, and row by row
+        found = near_dup.all_pairs(node * 0, node, node // 2, np.ascontiguousarray(short), wide=wide)
+        met = [p for a, b in found for p in zip(a.tolist(), b.tolist(), strict=True)]
+        assert sorted(met) == [(a, b) for a in range(120) for b in range(a + 1, 120) if a // 2 != b // 2 and near_dup.apart(short[a], short[b]) <= near_dup.REACH]
+    nodes = spark.createDataFrame([(i, i, bytearray(x.tobytes())) for i, x in enumerate(fp)], "node long, root long, fp binary")
+    whole = {tuple(r) for r in near_dup.candidates(nodes, 120).collect()}
+    assert whole == {tuple(r) for r in near_dup.candidates(nodes, 120, split=16).collect()} and len(whole) > 120 * 40
