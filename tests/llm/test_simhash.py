@@ -203,3 +203,14 @@ def test_all_pairs_of_a_bucket_within_reach(spark):
     nodes = spark.createDataFrame([(i, i, bytearray(x.tobytes())) for i, x in enumerate(fp)], "node long, root long, fp binary")
     whole = {tuple(r) for r in near_dup.candidates(nodes, 120).collect()}
     assert whole == {tuple(r) for r in near_dup.candidates(nodes, 120, split=16).collect()} and len(whole) > 120 * 40
+
+
+@pytest.mark.parametrize("n", [45_000, 226_000, 13_600_000])
+def test_plan_holds_for_one_fingerprint(n):
+    """Tables sample the same fingerprint: pairs whose bits happen to differ more must still meet."""
+    bits, tables = near_dup.plan(n)
+    width = 64 * near_dup.WORDS
+    rng = np.random.default_rng(1)
+    d = rng.binomial(width, np.arccos(2 * 0.8 / 1.8) / np.pi, 40_000)
+    agree = np.prod([(width - d - i) / (width - i) for i in range(bits)], 0)
+    assert ((1 - agree) ** tables).mean() < 0.001
