@@ -61,15 +61,34 @@ def neighbour_bit_differences(df: DataFrame, order: str, value: str) -> DataFram
     return d.select(order, B.from_bits("d").alias("difference"), B.surrounding_zeros(F.col("d")).alias("surrounding_zeros"))
 
 
-def sorted_subset_differences(df: DataFrame, order: str, value: str, log_sizes: range = range(4, 12)) -> DataFrame:
+def sorted_subset_differences(df: DataFrame, order: str, value: str, log_sizes: range = range(4, 25), log_large: int = 12) -> DataFrame:
     """log_size, mean_zeros, unique_fraction: blocks of 2^log_size values, sorted and made unique;
-    mean surrounding zeros of bit differences, scaled to all values."""
+    mean surrounding zeros of bit differences, scaled to all values. Blocks of 2^log_large and more are
+    made of those of 2^log_large, and sorted in buckets of the value, so that no task sorts a whole one."""
     base = df.select(F.col(order).alias("i"), F.col(value).cast("double").alias("v")).withColumn("u", B.raw_bits("v"))
-    sized = base.withColumn("log_size", F.explode(F.array(*[F.lit(k) for k in log_sizes]))).withColumn("block", F.floor(F.col("i") / F.pow(F.lit(2.0), "log_size")))
-    once = sized.groupBy("log_size", "block", "u").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("log_size", "block").orderBy("v", "u")
-    d = once.withColumn("d", B.wrapped_difference(F.col("u"), F.coalesce(F.lag("u").over(w), F.lit(0).cast("long"))))
-    sums = d.groupBy("log_size").agg(F.avg(B.surrounding_zeros(F.col("d"))).alias("zeros"), F.count(F.lit(1)).alias("kept"), F.sum("n").alias("all"))
+    keys, count = ["log_size", "block"], F.count(F.lit(1)).alias("n")
+
+    def sized(rows: DataFrame, index: str, sizes: list[int], less: int = 0) -> DataFrame:
+        each = rows.withColumn("log_size", F.explode(F.array(*[F.lit(k) for k in sizes])))
+        return each.withColumn("block", F.floor(F.col(index) / F.pow(F.lit(2.0), F.col("log_size") - less)))
+
+    def zeros(last: Column) -> Column:
+        return B.surrounding_zeros(B.wrapped_difference(F.col("u"), F.coalesce(last, F.lit(0).cast("long")))).alias("zeros")
+
+    found = []
+    if small := [k for k in log_sizes if k < log_large]:
+        once = sized(base, "i", small).groupBy(*keys, "u").agg(F.first("v").alias("v"), count)
+        found.append(once.select("log_size", "n", zeros(F.lag("u").over(Window.partitionBy(*keys).orderBy("v", "u")))))
+    if large := [k for k in log_sizes if k >= log_large]:
+        part = base.groupBy(F.floor(F.col("i") / (1 << log_large)).alias("p"), "u").agg(F.first("v").alias("v"), count)
+        once = sized(part, "p", large, log_large).groupBy(*keys, "u").agg(F.first("v").alias("v"), F.sum("n").alias("n")).withColumn("_b", scan.value_bucket(base, "v"))
+        own = Window.partitionBy(*keys, "_b").orderBy("v", "u")
+        tops = once.groupBy(*keys, "_b").agg(F.max(F.struct("v", "u")).alias("_top"))
+        beyond = tops.select(*keys, "_b", F.lag(F.col("_top")["u"]).over(Window.partitionBy(*keys).orderBy("_b")).alias("_beyond"))  # a row for each bucket
+        near = once.withColumns({"_near": F.lag("u").over(own), "_edge": F.row_number().over(own) == 1}).join(beyond, [*keys, "_b"])
+        found.append(near.select("log_size", "n", zeros(F.when(F.col("_edge"), F.col("_beyond")).otherwise(F.col("_near")))))
+    d = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    sums = d.groupBy("log_size").agg(F.avg("zeros").alias("zeros"), F.count(F.lit(1)).alias("kept"), F.sum("n").alias("all"))
     return sums.select("log_size", (F.col("zeros") * F.col("all") / F.col("kept")).alias("mean_zeros"), (F.col("kept") / F.col("all")).alias("unique_fraction"))
 
 

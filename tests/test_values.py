@@ -145,3 +145,21 @@ def test_text_functions(spark):
 def test_size_gate(spark):
     df = spark.range(10)
     assert matmul.enough(df, 9).count() == 10 and matmul.enough(df, 10).count() == 0
+
+
+def test_sorted_subset_differences_of_all_sizes(spark):
+    rng = np.random.default_rng(8)
+    v = np.round(rng.normal(size=9000), 3)
+    got = {r["log_size"]: r for r in values.sorted_subset_differences(spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i long, v double"), "i", "v").collect()}
+    assert sorted(got) == list(range(4, 25))
+
+    def zeros(x):
+        return 64 if not x else 64 - x.bit_length() + (x & -x).bit_length() - 1
+
+    for k in (4, 11, 12, 13, 24):
+        found = []
+        for at in range(0, len(v), 1 << k):
+            bits = sorted(set(v[at : at + (1 << k)].view(np.uint64).tolist()), key=lambda b: (np.uint64(b).view(np.float64), np.uint64(b).view(np.int64)))
+            found += [zeros((b - a) % 2**64) for a, b in zip([0, *bits], bits)]
+        assert got[k]["unique_fraction"] == pytest.approx(len(found) / len(v))
+        assert got[k]["mean_zeros"] == pytest.approx(np.mean(found) * len(v) / len(found))
