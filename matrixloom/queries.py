@@ -47,17 +47,17 @@ def matrix_s(spark: SparkSession, d: str) -> SparseFrame:
     return convert.dedupe_sum(SparseFrame.of(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", "l_quantity", m, n))
 
 
-def matrix_e(spark: SparkSession, d: str) -> SparseFrame:
-    return SparseFrame.of(table(spark, d, "events"), "user_id", F.col("event_id") % 500, F.lit(1.0), 1 << 20, 500)
+def matrix_e(spark: SparkSession, d: str, n: int = 500) -> SparseFrame:
+    return SparseFrame.of(table(spark, d, "events"), "user_id", F.col("event_id") % n, F.lit(1.0), 1 << 20, n)
 
 
 def part_k2(spark: SparkSession, d: str) -> DenseFrame:
     return DenseFrame.of(table(spark, d, "part"), "p_partkey", "p_size", F.lit(1))
 
 
-def fixed_vectors(spark: SparkSession, d: str) -> DenseFrame:
-    """Embeddings in whole ten-thousandths, so that sums don't depend on their order."""
-    v = table(spark, d, "embeddings").where("vec_id < 500")
+def fixed_vectors(spark: SparkSession, d: str, n: int = 500) -> DenseFrame:
+    """The first n embeddings in whole ten-thousandths, so that sums don't depend on their order."""
+    v = table(spark, d, "embeddings").where(F.col("vec_id") < n)
     return DenseFrame(v.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 10000).cast("double")).alias("vec")), 64)
 
 
@@ -103,6 +103,21 @@ def sddmm_embedding_fixedpoint(spark, d) -> Frame:
     return matmul.sddmm(e, u, x, v_rows=500)
 
 
+@query('with x as (select vec_id, unnest(embedding) e, unnest(range(64)) c from embeddings), t as (select count(*) n from embeddings) select user_id "row", c::int c, sum(floor(e::double * 10000)) y from events cross join t join x on vec_id = event_id % n group by all')
+def spmm_embedding_all(spark, d) -> Frame:
+    n = table(spark, d, "embeddings").count()
+    return matmul.spmm(matrix_e(spark, d, n), fixed_vectors(spark, d, n), dense_rows=n).select("row", F.posexplode("vec").alias("c", "y"))
+
+
+@query('with x as (select vec_id, list_transform(embedding, lambda e: floor(e::double * 10000)) v from embeddings), t as (select count(*) n from embeddings) select user_id "row", event_id % n col, list_dot_product(u.v, w.v) val from events cross join t join x u on u.vec_id = user_id % n join x w on w.vec_id = event_id % n')
+def sddmm_embedding_all(spark, d) -> Frame:
+    n = table(spark, d, "embeddings").count()
+    e, x = matrix_e(spark, d, n), fixed_vectors(spark, d, n)
+    users = e.entries.select("row").distinct()
+    u = DenseFrame(users.join(x.data, F.col("row") % n == x.data["id"]).select(F.col("row").alias("id"), "vec"), 64)
+    return matmul.sddmm(e, u, x, v_rows=n)
+
+
 @query('select l_orderkey "row", l_partkey col, l_quantity * (o_custkey % 7 * p_size + 1) val from lineitem join orders on o_orderkey = l_orderkey join part on p_partkey = l_partkey')
 def sddmm_scaled(spark, d) -> Frame:
     u = DenseFrame.of(table(spark, d, "orders"), "o_orderkey", F.col("o_custkey") % 7, F.lit(1))

@@ -44,3 +44,12 @@ def test_query(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_rows_only(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+def test_all_embeddings_are_read(spark, tmp_path):
+    n = 700
+    spark.range(n).selectExpr("id as vec_id", "array_repeat(cast(id as float), 64) as embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.range(n).selectExpr("id as event_id", "id as user_id").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["row"]: r["y"] for r in QUERIES["spmm_embedding_all"](spark, str(tmp_path)).where("c = 0").collect()}
+    assert got == {i: i * 10000.0 for i in range(n)}
+    assert {r["col"]: r["val"] for r in QUERIES["sddmm_embedding_all"](spark, str(tmp_path)).collect()} == {i: 64 * (i * 10000.0) ** 2 for i in range(n)}
