@@ -20,13 +20,11 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from matrixloom.llm.common import small_batches, table
+from matrixloom.llm.common import map_texts, small_batches, table
 from matrixloom.llm.tokens import BYTE_LEVEL, PLAIN
 
 #: Bytes of a word from which on the heap is used; words that a worker remembers at least (at most twice
@@ -223,31 +221,33 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     """doc_id, ids (array<int>), decoded (binary, from the ids) of every row."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def both(texts: list[str | None]) -> dict[str, list]:
         bpe = tokenizer(path, pattern)
-        for pdf in batches:
-            ids = list(bpe.encode_batch([x if isinstance(x, str) else None for x in pdf["text"]]))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": ids, "decoded": [bpe.decode(x) for x in ids]})
+        ids = list(bpe.encode_batch(texts))
+        return {"ids": ids, "decoded": [bpe.decode(x) for x in ids]}
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, ids array<int>, decoded binary")
+    return map_texts(docs, lambda: both, "ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: as encode(), but only digests leave the worker."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         bpe = tokenizer(path, pattern)
         digits = [str(i).encode() for i in range(len(bpe.words))]
-        for pdf in batches:
+
+        def run(texts: list[str | None]) -> dict[str, list]:
             n, a, b = [], [], []
-            for ids in bpe.encode_batch([x if isinstance(x, str) else None for x in pdf["text"]]):
+            for ids in bpe.encode_batch(texts):
                 n.append(len(ids))
                 a.append(hashlib.sha256(b" ".join(map(digits.__getitem__, ids))).hexdigest())
                 b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
+            return {"n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
+
+        return run
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

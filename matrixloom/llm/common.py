@@ -4,28 +4,40 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-#: Used where the session names no shared folder, as in tests.
+#: Used where a local session names no shared folder, as in tests.
 DEFAULT_SHARED = "/tmp/checkpoints"
 #: A key counts as hot if it has over one row in so many; there are no more hot keys than this.
 HOT_SHARE = 1000
-#: Folders that shared_dir() named in this process.
+#: Folders that shared_dir() named in this process, and tables of the catalogue over them.
 _named: list[str] = []
+_tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
+        base = DEFAULT_SHARED
     path = f"{base.rstrip('/')}/{name}_{uuid.uuid4().hex}"
     _named.append(path)
     return path
 
 
 def sweep(spark: SparkSession) -> None:
-    """Delete the folders that operators wrote in this process; results that still read them must be saved before."""
+    """Delete the folders that operators wrote in this process and drop their tables (a table's files in a folder
+    that the caller named stay); results that still read them must be saved before."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _named:
         path = spark._jvm.org.apache.hadoop.fs.Path(_named.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -40,12 +52,46 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named_table(name: str) -> str:
+    """Remember a table for sweep()."""
+    _tables.append(name)
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Long texts: no Arrow batch that Python gets holds over 16 MB or 1000 rows (but one row at least)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], dict[str, list]]], schema: str, key: str = "doc_id") -> DataFrame:
+    """docs' key, as a long that never passes through floating point, and the columns of `schema`: make() is called
+    once in each task and gives a function from texts (None: null) to columns."""
+
+    full = StructType.fromDDL(f"{key} long, {schema}")
+    kinds = to_arrow_schema(full)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            out = f(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[x.name], x.type) for x in list(kinds)[1:])], schema=kinds)
+
+    return docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).mapInArrow(run, full)
+
+
+def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:
+    """The rows whose text passes, with all their columns as they are: batches are cut in Arrow, so that no type changes."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            yield batch.filter(pa.array(f(batch.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

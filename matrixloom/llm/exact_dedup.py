@@ -2,11 +2,13 @@
 
 A batch is reduced to one row for each digest (partial aggregation, so a hot text costs a row for
 each task), sort-merge anti-joined with the index, and what is new is appended to the index. The
-index is a bucketed Parquet table: neither the anti-join nor the later lookup moves it.
+index is a bucketed Parquet table: neither the anti-join nor the later lookup moves it. Its folder
+carries its number of buckets, so that whoever opens it again joins the right files.
 
 Defined results: a null text counts as empty; all empty and all-blank texts are equal to one
 another; a null doc_id is smaller than any other; rows that repeat a doc_id are one document and
-share its verdict; an empty table gives an empty result; other columns are ignored.
+share its verdict, but drop_copies() keeps one row of them; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matrixloom.llm.common import cut, lookup, shared_dir, table
+from matrixloom.llm.common import cut, lookup, named_table, shared_dir, table
 
 BLANKS = " \t\n\x0b\x0c\r"
 #: About so many rows of 64-digit digests are one bucket file.
 ROWS_A_BUCKET = 2_000_000
 LEAST_BUCKETS = 12
+#: In an index's folder, the file with its number of buckets; Spark's readers pass over such names.
+BUCKETS_FILE = "_buckets"
 #: Dropped rows up to which they are broadcast, about 100 bytes each.
 BROADCAST_COPIES = 200_000
 
@@ -41,16 +45,37 @@ def digests(docs: DataFrame) -> DataFrame:
 
 class DigestIndex:
     """One row for each text seen: text_sha256, keep_id (who stays), n_points, group_size (rows of
-    the batch that brought it). A folder opened again after the session has ended serves on."""
+    the batch that brought it). A folder opened again after the session has ended serves on, with the
+    number of buckets that it was made with; another number asked for is an error."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = LEAST_BUCKETS):
-        self.spark, self.path, self.buckets = spark, path, buckets
-        self.name = f"digest_index_{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path
+        self.buckets = self._settled(buckets)
+        self.name = named_table(f"digest_index_{uuid.uuid4().hex}")
         spark.sql(
             f"CREATE TABLE {self.name} (text_sha256 STRING, keep_id BIGINT, n_points BIGINT, group_size BIGINT) "
-            f"USING parquet CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"USING parquet CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def _settled(self, buckets: int | None) -> int:
+        """The folder's own number of buckets; a new folder gets `buckets`."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        file, fs = jvm.org.apache.hadoop.fs.Path(folder, BUCKETS_FILE), folder.getFileSystem(conf)
+        if fs.exists(file):
+            stream = fs.open(file)
+            own = int(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            stream.close()
+            if buckets not in (None, own):
+                raise ValueError(f"{self.path} has {own} buckets, not {buckets}")
+            return own
+        if fs.exists(folder) and len(fs.listStatus(folder)):
+            raise ValueError(f"{self.path} holds files but not its number of buckets")
+        stream = fs.create(file, False)
+        stream.write(bytearray(str(buckets or LEAST_BUCKETS), "ascii"))
+        stream.close()
+        return buckets or LEAST_BUCKETS
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -75,19 +100,34 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     total = batch.count()
     index = index or DigestIndex(spark, shared_dir(spark, "digest_index"), max(LEAST_BUCKETS, total // ROWS_A_BUCKET))
     index.append(batch)
-    known = index.rows().select("text_sha256", "keep_id", "group_size")
-    out = lookup(batch.select("doc_id", "text_sha256"), known, "text_sha256", "group_size", total)
+    # what the index says of the batch's own digests, with their counts in the batch: those that are hot there are few
+    own = batch.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("_rows"))
+    known = cut(index.rows().select("text_sha256", "keep_id", "group_size").hint("merge").join(own, "text_sha256"), "known")
+    out = lookup(batch.select("doc_id", "text_sha256"), known, "text_sha256", "_rows", total)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows that stay, with all their columns. A row is told by id and digest: another text under
-    the id of a dropped copy stays."""
+    the id of a dropped copy stays. Of rows that repeat the id and the digest of the document that stays
+    one does, the longest, then the smallest text."""
     verdicts = exact_dedup(docs, index)
-    gone = cut(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "copies")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_COPIES else gone
+    per = cut(verdicts.groupBy("doc_id", "text_sha256", "kept").agg(F.count(F.lit(1)).alias("n")), "verdicts")
+    named = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (digest(docs["text"]) == F.col("_sha"))
-    return docs.join(side, same, "left_anti").select(*[docs[c] for c in docs.columns])
+
+    def sides(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_COPIES else df
+
+    repeated = per.where("kept and n > 1")
+    gone = cut(named(per.where("not kept or n > 1")), "copies")
+    out = docs.join(sides(gone), same, "left_anti").select(*[docs[c] for c in docs.columns])
+    if repeated.isEmpty():
+        return out
+    rows = docs.join(sides(cut(named(repeated), "repeats")), same, "left_semi")
+    whole = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])  # combined in each task before it's dealt
+    one = rows.groupBy(docs["doc_id"].alias("_id"), digest(docs["text"]).alias("_sha")).agg(F.min_by(whole, F.struct(-F.length(F.coalesce(docs["text"], F.lit(""))), docs["text"])).alias("w"))
+    return out.unionByName(one.select(*[F.col(f"w.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

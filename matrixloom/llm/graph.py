@@ -1,8 +1,9 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-No group of edges is collected: a star streams over a node's sorted neighbours, of which the least
-comes first, and keeps one of them in memory. Every round is written to the shared folder. Stars need
-few rounds; a chain of n nodes needs about log n.
+No group of edges is collected, and none goes to one task: a star takes the least neighbour of each
+node, which is combined in every task before the shuffle, and joins it back to the node's edges; what is
+hot there is broadcast (see lookup()). Every round is written to the shared folder. Stars need few
+rounds; a chain of n nodes needs about log n.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixloom.llm.common import cut
+from matrixloom.llm.common import cut, lookup
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,55 +42,35 @@ def contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": a, "b": b})
 
 
-def large_star(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by (a, b), both directions of every edge: the larger neighbours of a node point to
-    the least of it and its neighbours, which is known when its first row is. Nothing is gathered."""
-    last, least = None, None
-    for pdf in batches:
-        a, b = pdf["a"].to_numpy(np.int64), pdf["b"].to_numpy(np.int64)
-        if not len(a):
-            continue
-        fresh = np.concatenate(([last is None or a[0] != last[0]], a[1:] != a[:-1]))
-        twice = np.concatenate(([last is not None and (a[0], b[0]) == last], (a[1:] == a[:-1]) & (b[1:] == b[:-1])))
-        first = np.maximum.accumulate(np.where(fresh, np.arange(len(a)), -1))
-        m = np.where(first >= 0, np.minimum(a[first], b[first]), 0)
-        if not fresh[0]:
-            m[first < 0] = least
-        last, least = (a[-1], b[-1]), m[-1]
-        keep = (b > a) & ~twice
-        yield pd.DataFrame({"a": b[keep], "b": m[keep]})
-
-
-def small_star(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by (a, b), each edge from its larger node: the node and its smaller neighbours point to the least of them."""
-    last, least = None, None
-    for pdf in batches:
-        a, b = pdf["a"].to_numpy(np.int64), pdf["b"].to_numpy(np.int64)
-        if not len(a):
-            continue
-        fresh = np.concatenate(([last is None or a[0] != last[0]], a[1:] != a[:-1]))
-        twice = np.concatenate(([last is not None and (a[0], b[0]) == last], (a[1:] == a[:-1]) & (b[1:] == b[:-1])))
-        first = np.maximum.accumulate(np.where(fresh, np.arange(len(a)), -1))
-        m = np.where(first >= 0, b[first], 0)
-        if not fresh[0]:
-            m[first < 0] = least
-        last, least = (a[-1], b[-1]), m[-1]
-        keep = (b != m) & ~twice
-        yield pd.DataFrame({"a": np.concatenate((a[fresh], b[keep])), "b": np.concatenate((m[fresh], m[keep]))})
+def with_least(edges: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    """edges a, b with m: the least b of a in `groups` (a, b). A hot a is combined in each task, and its
+    least is sent to its edges where they lie."""
+    least = groups.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    return lookup(edges, least, "a", "n", total)
+
+
+def large_star(star: DataFrame, total: int) -> DataFrame:
+    """The larger neighbours of every node point to the least of it and its neighbours. Edges go from the larger node."""
+    up = star.select(F.col("b").alias("a"), F.col("a").alias("b"))  # each node's larger neighbours
+    return with_least(up, star.unionByName(up), 2 * total).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+
+
+def small_star(star: DataFrame, total: int) -> DataFrame:
+    """A node and its smaller neighbours point to the least of them. Edges go from the larger node."""
+    known = with_least(star, star, total)
+    return known.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).unionByName(known.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """edges: a, b (longs, never null). Returns node, root: every node with an edge, and the least node of its component."""
-    star = cut(edges.where("a != b").mapInPandas(contract, "a long, b long"), "stars")
-    before = None
+    away = edges.where("a != b").mapInPandas(contract, "a long, b long")
+    star, before = cut(away.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars"), None
     for _ in range(most_rounds):
-        both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.repartition("a").sortWithinPartitions("a", "b").mapInPandas(large_star, "a long, b long")
-        small = large.repartition("a").sortWithinPartitions("a", "b").mapInPandas(small_star, "a long, b long")
-        star = cut(small, "stars")
         sign = star.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if sign == before:
             # a star now: each node once, with its root
             return star.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(star.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         before = sign
+        large = cut(large_star(star, sign[0]), "stars")
+        star = cut(small_star(large, large.count()), "stars")
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")

@@ -25,11 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matrixloom.llm.common import held_out, small_batches, table
+from matrixloom.llm.common import filter_texts, held_out, map_texts, small_batches, table
 
 BITS = 17
-#: At most about so many labelled rows are fitted on, taken by a hash of doc_id.
-TRAIN_ROWS = 20_000
+#: At most about so many labelled rows are fitted on, taken by a hash of doc_id; each language has at least
+#: LANG_ROWS of them, or all that it has.
+TRAIN_ROWS, LANG_ROWS = 20_000, 500
 #: Nats that a switch of language between two words costs.
 SWITCH = 12.0
 SCRIPT_SHARE = 0.001
@@ -98,15 +99,20 @@ def word_grams(codes: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def pieces(text: str, size: int = CHUNK) -> Iterator[tuple[int, str]]:
-    """The text in pieces of about `size` that end after a non-word character where there is one."""
+    """The text in pieces of about `size` that end after a non-word character; a longer word stays whole."""
+    word = lambda i: text[i].isalpha() or unicodedata.category(text[i])[0] == "M"
     at = 0
     while at < len(text):
         end = min(len(text), at + size)
         if end < len(text):
             back = end
-            while back > at and (text[back - 1].isalpha() or unicodedata.category(text[back - 1])[0] == "M"):
+            while back > at and word(back - 1):
                 back -= 1
-            end = back if back > at else end
+            if back > at:
+                end = back
+            else:  # a run of letters longer than a piece is a piece of its own
+                while end < len(text) and word(end):
+                    end += 1
         yield at, text[at:end]
         at = end
 
@@ -255,7 +261,9 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     if not L:
         return Model([], np.zeros((0, 0)), np.zeros((0, 0), bool))
     part = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), 33) / float(2**31)
-    sample = known.where(part < min(1.0, rows / total)).where("text is not null").select("text", "lang")
+    rates = {x: min(1.0, max(rows / total, LANG_ROWS / n)) for x, n in sizes.items()}
+    rate = F.element_at(F.create_map(*[F.lit(v) for x in rates.items() for v in x]), F.col("lang"))
+    sample = known.where(part < rate).where("text is not null").select("text", "lang")
     got = sample.mapInPandas(lambda x: count_grams(x, langs), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((2**BITS + len(SCRIPT_NAMES)) * L)
     counts[got["cell"].to_numpy(np.int64)] = got["n"]
@@ -268,25 +276,17 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            lang, score = shared.value.label([x if isinstance(x, str) else None for x in pdf["text"]])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": lang, "score": score})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return map_texts(docs, lambda: lambda texts: dict(zip(("lang_pred", "score"), shared.value.label(texts), strict=True)), "lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows with a language that has at least `least` of the letters, with all their columns."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            lang, score = shared.value.label([x if isinstance(x, str) else None for x in pdf["text"]])
-            yield pdf.loc[(np.array(lang, object) != "und") & (np.array(score) >= least), names]
+    def known(texts: list[str | None]) -> list[bool]:
+        return [lang != "und" and score >= least for lang, score in zip(*shared.value.label(texts), strict=True)]
 
-    return docs.mapInPandas(run, docs.schema)
+    return filter_texts(docs, lambda: known)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ FIT_ROWS bounds the labelled rows, and PAIRS the pairs, that are fitted on.
 
 Defined results: a null text counts as empty, and the empty text has a score as any other; without
 both labels to learn from every score is 1; a label that is null or of no document is not used;
-repeated label rows count as often; an empty table gives an empty result; other columns are ignored.
+repeated rows of labels and of documents count once in the fit (ids that many texts share are thinned
+by a hash of the text); a document at the cut itself is good; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matrixloom.llm.common import held_out, small_batches, table
+from matrixloom.llm.common import filter_texts, held_out, map_texts, small_batches, table
 
 #: At most about so many labelled rows, and so many pairs of them, are fitted on.
 FIT_ROWS, PAIRS = 20_000, 200_000
@@ -63,6 +64,10 @@ def features(text: str | None) -> list[float]:
     ]
 
 
+def matrix(texts: list[str | None]) -> np.ndarray:
+    return np.array([features(t) for t in texts]).reshape(-1, len(FEATURES))
+
+
 def expand(x: np.ndarray) -> np.ndarray:
     """Features and their roots: a linear merit can then bend where small shares matter."""
     return np.concatenate((x, np.sqrt(np.abs(x))), axis=1)
@@ -120,39 +125,30 @@ def featurise(docs: DataFrame, extra: str = "") -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ranker:
     """Learn from labelled rows that aren't held out; about `rows` of them, by a hash of doc_id."""
-    known = labels.where("quality in (0, 1)").where(~held_out(F.col("doc_id"))).select("doc_id", "quality")
+    known = labels.where("quality in (0, 1)").where(~held_out(F.col("doc_id"))).select("doc_id", "quality").distinct()
     total = known.count()
     part = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), 33) / float(2**31)
-    few = known.where(part < min(1.0, rows / max(1, total)))
-    got = featurise(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), "quality").toPandas()  # `few` is bounded by `rows`
+    few = F.broadcast(known.where(part < min(1.0, rows / max(1, total))))  # bounded by `rows`
+    labelled = docs.select("doc_id", "text").join(few, "doc_id")
+    found = docs.select("doc_id").join(few, "doc_id").count()  # over `rows` only where many documents share an id
+    own = F.shiftrightunsigned(F.xxhash64("text", F.lit("row")), 33) / float(2**31)
+    got = featurise(labelled.where(own < min(1.0, 2 * rows / max(1, found))), "quality").distinct().toPandas()
     if got.empty:
         return Ranker()
-    got = got.sort_values(["doc_id", "quality"])
+    got = got.sort_values(["doc_id", "quality", "x"], key=lambda c: c.map(tuple) if c.name == "x" else c)
     return fit(np.stack(got["x"].to_numpy()), got["quality"].to_numpy())
 
 
 def predict(docs: DataFrame, ranker: Ranker) -> DataFrame:
     """doc_id, score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(ranker)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.array([features(t if isinstance(t, str) else None) for t in pdf["text"]]).reshape(-1, len(FEATURES))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": shared.value.score(x)})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double")
+    return map_texts(docs, lambda: lambda texts: {"score": shared.value.score(matrix(texts))}, "score double")
 
 
 def keep_good(docs: DataFrame, ranker: Ranker) -> DataFrame:
     """The rows that score CUT or more, with all their columns."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(ranker), docs.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.array([features(t if isinstance(t, str) else None) for t in pdf["text"]]).reshape(-1, len(FEATURES))
-            yield pdf.loc[shared.value.score(x) >= CUT, names]
-
-    return docs.mapInPandas(run, docs.schema)
+    shared = docs.sparkSession.sparkContext.broadcast(ranker)
+    return filter_texts(docs, lambda: lambda texts: shared.value.score(matrix(texts)) >= CUT)
 
 
 def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:

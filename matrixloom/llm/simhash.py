@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matrixloom.llm.common import cut, lookup, small_batches, table
+from matrixloom.llm.common import cut, lookup, map_texts, small_batches, table
 from matrixloom.llm.graph import components, forest
 
 SEED, WIDTH, RADIUS = 42, 3, 2
@@ -89,12 +89,10 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, fp (long with the fingerprint's bits) of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = np.array([fingerprint(t if isinstance(t, str) else None, width) for t in pdf["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
+    def prints(texts: list[str | None]) -> dict[str, np.ndarray]:
+        return {"fp": np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)}
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    return map_texts(docs, lambda: prints, "fp long")
 
 
 def parts(bits: list[int]) -> list[int]:

@@ -67,21 +67,25 @@ def test_bpe_query(docs):
 @given(st.lists(st.integers(0, 400), max_size=200), st.integers(0, 2**31))
 def test_segment(sizes, seed):
     ids = np.random.default_rng(seed).integers(0, 50000, sum(sizes)).astype("<u2")
-    seg = elias_fano.Segment(elias_fano.pack_segment(sizes, ids))
+    rng = np.random.default_rng(seed)
+    keys = [None] * (seed % 3) + sorted(rng.integers(-(2**63), 2**63 - 1, len(sizes)).tolist() if seed % 2 else rng.integers(0, 99, len(sizes)).tolist())
+    keys = keys[: len(sizes)]
+    seg = elias_fano.Segment(elias_fano.pack_segment(keys, sizes, ids))
     ends = np.cumsum(sizes).tolist()
-    assert seg.ends().tolist() == ends and [seg.end(i) for i in range(len(sizes))] == ends
+    assert [seg.end(i) for i in range(len(sizes))] == ends and [seg.key(i) for i in range(len(sizes))] == keys
     assert all(np.array_equal(seg.document(i), ids[e - n : e]) for i, (n, e) in enumerate(zip(sizes, ends, strict=True)))
 
 
 def test_boundaries_are_small():
     sizes = [300] * 10000
-    raw = elias_fano.pack_segment(sizes, np.zeros(3_000_000, "<u2"))
-    assert (len(raw) - 6_000_000) * 8 / 10000 < 2 + np.log2(300) + 1
+    raw = elias_fano.pack_segment(list(range(0, 10**6, 100)), sizes, np.zeros(3_000_000, "<u2"))
+    assert (len(raw) - 6_000_000) * 8 / 10000 < 2 + np.log2(300) + 1 + 2 + np.log2(100) + 1
 
 
 def test_elias_fano_files(spark, docs, tmp_path, monkeypatch):
     monkeypatch.setattr(elias_fano, "SEGMENT", 500)
     elias_fano.write_ids(docs(ROWS), str(tmp_path / "ids"), P.path("byte_bpe_50k.json"))
+    assert spark.read.parquet(str(tmp_path / "ids")).columns == ["part", "before", "segment"]  # doc_ids and ends are in the segments only
     got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in elias_fano.read_ids(spark, str(tmp_path / "ids")).collect())
     assert [x[1] for x in got] == sorted((i for i, _ in ROWS), key=lambda i: (i is not None, i or 0))
     assert [x[0] for x in got] == [0, *np.cumsum([x[2] for x in got])[:-1].tolist()]
@@ -114,12 +118,28 @@ def check_windows(windows, sizes, window):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 150), max_size=120), st.sampled_from([4, 64]))
 def test_packer(lengths, most):
-    p, windows = packing.SumOfSquares(64, most), []
+    p, windows = packing.SumOfSquares(64), []
     for i, n in enumerate(lengths):
-        windows += list(p.add(i, np.arange(n)))
-        assert p.n_open == sum(p.count) == sum(map(len, p.open.values())) <= most
+        windows += list(p.add(i, 0, n, np.arange(n)))
+        assert p.n_open == sum(p.count) == sum(map(len, p.open.values()))
+        if p.n_open >= most:  # as at the end of a partition: pieces are packed again
+            for piece in p.rest():
+                windows += list(p.add(*piece))
     windows += list(p.close())
     check_windows(windows, dict(enumerate(lengths)), 64)
+    assert sum(len(p[3]) for w in windows for p in w if sum(len(x[3]) for x in w) < 64) < 64  # one rest only
+
+
+def test_rounds_agree_with_any_split(docs):
+    """However finely the input is split, each id lies in one piece and few windows come from closing."""
+    rows = [(i, "word " * (i * 37 % 900)) for i in range(400)]
+    for parts, again in ((1, 1 << 25), (40, 1 << 25), (40, 20_000)):
+        got = packing.pack(docs(rows, parts), P.path("word_bpe_49k.json"), round_ids=again).collect()
+        assert sum(r["length"] for r in got) == sum(i * 37 % 900 + 1 for i, _ in rows)
+        sizes = defaultdict(int)
+        for r in got:
+            sizes[r["sequence_id"]] += r["length"]
+        assert sum(n < 4096 for n in sizes.values()) <= 12 and all(n == 4096 or n & (n - 1) == 0 for n in sizes.values())
 
 
 def test_level_minimises_squares():
