@@ -64,20 +64,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], dict[str, list]]], schema: str, key: str = "doc_id") -> DataFrame:
-    """docs' key, as a long that never passes through floating point, and the columns of `schema`: make() is called
+def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], dict[str, list]]], schema: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs' keys, as longs that never pass through floating point, and the columns of `schema`: make() is called
     once in each task and gives a function from texts (None: null) to columns."""
-
-    full = StructType.fromDDL(f"{key} long, {schema}")
-    kinds = to_arrow_schema(full)
+    full = StructType.fromDDL(", ".join([*(f"{k} long" for k in keys), schema]))
+    kinds, n = to_arrow_schema(full), len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            out = f(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[x.name], x.type) for x in list(kinds)[1:])], schema=kinds)
+            out = f(batch.column(n).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(out[x.name], x.type) for x in list(kinds)[n:])], schema=kinds)
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).mapInArrow(run, full)
+    return docs.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("text").cast("string").alias("text")).mapInArrow(run, full)
 
 
 def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:

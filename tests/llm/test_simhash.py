@@ -181,28 +181,39 @@ def test_plan():
 
 
 def test_parts_of_a_large_bucket_all_meet(spark):
-    keyed = spark.createDataFrame([(1, i) for i in range(60)] + [(2, i) for i in range(100, 105)], "key long, node long")
-    met = set()
-    for r in near_dup.dealt(keyed, keyed, 16, 1).groupBy("key").agg(F.collect_list("node").alias("nodes")).collect():
+    rows = [(1, i, i if i % 2 else 0) for i in range(60)] + [(1, 200 + i, 7) for i in range(300)] + [(2, i, i) for i in range(100, 105)]
+    keyed = spark.createDataFrame(rows, "key long, node long, root long")
+    root, met = {n: r for _, n, r in rows}, set()
+    for r in near_dup.parted(keyed, near_dup.large_buckets(keyed, 16, 1), False).groupBy("key").agg(F.collect_list("node").alias("nodes")).collect():
         assert len(r["nodes"]) < 60
-        met |= {(a, b) for a in r["nodes"] for b in r["nodes"] if a < b}
-    assert met == {(a, b) for a in range(60) for b in range(a + 1, 60)} | {(a, b) for a in range(100, 105) for b in range(a + 1, 105)}
+        met |= {(a, b) for a in r["nodes"] for b in r["nodes"] if a < b and root[a] != root[b]}
+    assert met == {(a, b) for k, a, r in rows for j, b, s in rows if k == j and a < b and r != s}
+    once = near_dup.parted(keyed, near_dup.large_buckets(keyed, 16, 1), True)
+    assert once.count() == len(rows)  # the first pass sends each row to one part
 
 
 def test_all_pairs_of_a_bucket_within_reach(spark):
     rng = np.random.default_rng(5)
     bits = np.repeat(rng.integers(0, 2, (1, 64 * near_dup.WORDS), dtype=np.uint8), 120, 0)
-    bits ^= (rng.random(bits.shape) < 0.05).astype(np.uint8)
+    bits ^= (rng.random(bits.shape) < 0.08).astype(np.uint8)
     fp = np.packbits(bits, axis=1, bitorder="little")
     short = fp.view("<u8")[:, : near_dup.SENT]
-    node = np.arange(120)
+    node, size = np.arange(120), 50 + 20 * (np.arange(120) % 2)
+    rows = near_dup.Rows(node, node // 2 % 25, size, np.ascontiguousarray(short))
     for wide in (64, 200):  # by blocks, and row by row
-        found = near_dup.all_pairs(node * 0, node, node // 2, np.ascontiguousarray(short), wide=wide)
-        met = [p for a, b in found for p in zip(a.tolist(), b.tolist(), strict=True)]
-        assert sorted(met) == [(a, b) for a in range(120) for b in range(a + 1, 120) if a // 2 != b // 2 and near_dup.apart(short[a], short[b]) <= near_dup.REACH]
-    nodes = spark.createDataFrame([(i, i, bytearray(x.tobytes())) for i, x in enumerate(fp)], "node long, root long, fp binary")
+        met = [(min(p), max(p)) for a, b in near_dup.all_pairs(node * 0, rows, wide) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        want = [(a, b) for a in range(120) for b in range(a + 1, 120) if rows.root[a] != rows.root[b] and size[a] == size[b] and near_dup.apart(short[a], short[b]) <= near_dup.REACH]
+        assert sorted(met) == want and 1000 < len(want) < 7000
+    nodes = spark.createDataFrame([(i, i, 50, bytearray(x.tobytes())) for i, x in enumerate(fp)], "node long, root long, size long, fp binary")
     whole = {tuple(r) for r in near_dup.candidates(nodes, 120).collect()}
-    assert whole == {tuple(r) for r in near_dup.candidates(nodes, 120, split=16).collect()} and len(whole) > 120 * 40
+    assert whole == {tuple(r) for r in near_dup.candidates(nodes, 120, split=16).collect()} and len(whole) > 120 * 20
+
+
+def test_texts_of_one_hash_are_told_apart(monkeypatch, docs):
+    """Where the first hash of two texts is equal, the second text stays."""
+    monkeypatch.setattr(near_dup, "text_hash", lambda text: F.length(F.coalesce(text, F.lit(""))).cast("long"))
+    rows = [(1, "one two three four five six"), (2, "ten two three four five sex"), (3, "one two three four five six seven")]
+    assert {r["doc_id"] for r in near_dup.drop_near_duplicates(docs(rows)).collect()} == {1, 2, 3}
 
 
 @pytest.mark.parametrize("n", [45_000, 226_000, 13_600_000])
