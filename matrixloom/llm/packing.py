@@ -194,7 +194,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW
 
         return run
 
-    done = []
+    done, tasks = [], 1 << 30
     step = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(first, full), "packed")
     while True:
         done.append(step.where("ids is null").drop("ids"))
@@ -202,7 +202,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW
         total = left.agg(F.sum("length")).first()[0]
         if not total:
             break
-        tasks = -(-total // round_ids)
+        tasks = min(-(-total // round_ids), max(1, tasks // 4))  # fewer each time
         step = cut(left.select("doc_id", "start", "doc_tokens", "ids").coalesce(tasks).mapInArrow(again(len(done), tasks == 1), full), "packed")
     out = done[0]
     for x in done[1:]:
