@@ -167,8 +167,9 @@ def test_near_duplicates_of_nothing(docs):
     assert near_dup.drop_near_duplicates(docs([(1, None), (2, "a b c")])).count() == 2
 
 
-def test_large_buckets_keep_groups_together(monkeypatch, docs):
+def test_large_buckets_and_clusters_keep_groups_together(monkeypatch, docs):
     monkeypatch.setattr(near_dup, "SPLIT", 16)
+    monkeypatch.setattr(near_dup, "PART", 20)
     texts = near_texts(3, groups=2)
     rows = [(i, t) for i, t in enumerate(texts)]
     small = {r["doc_id"] for r in near_dup.drop_near_duplicates(docs(rows)).collect()}
@@ -202,11 +203,26 @@ def test_all_pairs_of_a_bucket_within_reach(spark):
     rows = near_dup.Rows(node, node // 2 % 25, size, np.ascontiguousarray(short))
     for wide in (64, 200):  # by blocks, and row by row
         met = [(min(p), max(p)) for a, b in near_dup.all_pairs(node * 0, rows, wide) for p in zip(a.tolist(), b.tolist(), strict=True)]
-        want = [(a, b) for a in range(120) for b in range(a + 1, 120) if rows.root[a] != rows.root[b] and size[a] == size[b] and near_dup.apart(short[a], short[b]) <= near_dup.REACH]
-        assert sorted(met) == want and 1000 < len(want) < 7000
+        r = rows.root
+        want = [(min(r[a], r[b]), max(r[a], r[b])) for a in range(120) for b in range(a + 1, 120) if r[a] != r[b] and size[a] == size[b] and near_dup.apart(short[a], short[b]) <= near_dup.REACH]
+        assert sorted(met) == sorted(want) and 1000 < len(want) < 7000
     nodes = spark.createDataFrame([(i, i, 50, bytearray(x.tobytes())) for i, x in enumerate(fp)], "node long, root long, size long, fp binary")
-    whole = {tuple(r) for r in near_dup.candidates(nodes, 120).collect()}
-    assert whole == {tuple(r) for r in near_dup.candidates(nodes, 120, split=16).collect()} and len(whole) > 120 * 20
+    for split in (None, 16):  # a forest, and one for each part
+        edges = near_dup.candidates(nodes, 120, split=split)
+        assert graph.components(edges).select("root").distinct().count() == 1
+
+
+def test_links_are_a_forest_of_all_that_reach_the_similarity():
+    texts = near_texts(2, 6)
+    sets = [near_dup.shingle_set(t) for t in texts]
+    fp = np.stack([near_dup.wide_fingerprint(t)[1] for t in texts])
+    words = [set(x.tolist()) for x in sets]
+    for side in (np.zeros(len(sets), int), np.arange(len(sets)) % 2):
+        all_links = [(i, j) for i in range(len(sets)) for j in range(i) if (side[i] != side[j] or not side.any()) and len(words[i] & words[j]) >= 0.8 * len(words[i] | words[j])]
+        a, b = near_dup.links(fp, sets, side, 0.8)
+        assert {frozenset(p) for p in zip(a, b, strict=True)} <= {frozenset(p) for p in all_links}
+        parts = lambda e: sorted(zip(*(x.tolist() for x in graph.forest(*(np.array(y, np.int64) for y in zip(*e, strict=True)))), strict=True))
+        assert parts(list(zip(a, b, strict=True))) == parts(all_links) and len(a) == len(parts(all_links))
 
 
 def test_texts_of_one_hash_are_told_apart(monkeypatch, docs):
