@@ -108,13 +108,14 @@ def test_radius_is_bounded(spark):
 
 
 @pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(120)], [(5, i) for i in range(-50, 60)], [(3, 3)], [(7, 2), (2, 7), (9, 7), (-4, -9)]])
-def test_components(spark, edges):
+@pytest.mark.parametrize("alone", [0, graph.ALONE])
+def test_components(spark, edges, alone):
     root = {x: x for e in edges for x in e if e[0] != e[1]}
     for _ in root:
         for a, b in edges:
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
-    got = [tuple(r) for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    got = [tuple(r) for r in graph.components(spark.createDataFrame(edges, "a long, b long"), alone).collect()]
     assert sorted(got) == sorted(root.items())
 
 
