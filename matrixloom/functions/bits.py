@@ -1,33 +1,23 @@
-"""Bits of doubles and integers. Views of a double's bits come in Arrow batches; all else is built in."""
+"""Bits of doubles and integers. Views of a double's bits are calls of the JVM's own methods; no row goes to Python."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from matrixloom.model import column
 
 
-def _bits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for v in batches:
-        yield pd.Series(v.to_numpy("float64").view("int64"))
-
-
-def _double(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for v in batches:
-        yield pd.Series(v.to_numpy("int64").view("float64"))
-
-
 def raw_bits(v: str | Column) -> Column:
-    """The 64 bits of a double, as a long. Values are not null."""
-    return F.pandas_udf(_bits, "long")(column(v).cast("double"))
+    """The 64 bits of a double, as a long; null of null."""
+    d = column(v).cast("double")
+    return F.when(d.isNotNull(), F.reflect(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), d).cast("long"))
 
 
 def from_bits(v: str | Column) -> Column:
-    return F.pandas_udf(_double, "double")(column(v).cast("long"))
+    """The double with these bits; its shortest decimal names it, so the cast is exact."""
+    x = column(v).cast("long")
+    return F.when(x.isNotNull(), F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), x).cast("double"))
 
 
 def sign(bits: Column) -> Column:
@@ -93,6 +83,15 @@ def unset_low(x: Column, n: int) -> Column:
     return x.bitwiseAND(~((1 << n) - 1))
 
 
+def set_high(x: Column, n: int) -> Column:
+    """The n highest of 64 bits set."""
+    return x.bitwiseOR(-1 << (64 - n) if n else 0)
+
+
+def unset_high(x: Column, n: int) -> Column:
+    return x.bitwiseAND((1 << (64 - n)) - 1 if n else -1)
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

@@ -528,17 +528,22 @@ def sorted_value_diffs(spark, d) -> Frame:
     return values.sorted_differences(table(spark, d, "orders"), "o_totalprice").select("v", *[F.round(c, 6).alias(c) for c in ("diff", "ratio", "relative")])
 
 
-@query("with v as (select l_quantity v, floor(log2(l_quantity)) e from lineitem) select count(*) n, min(v) val_min, max(v) val_max, round(avg(v), 6) val_avg, round(stddev_pop(v), 6) val_std, min(abs(v)) abs_min, max(abs(v)) abs_max, round(avg(abs(v)), 6) abs_avg, round(stddev_pop(abs(v)), 6) abs_std, min(e) exponent_min, max(e) exponent_max, round(avg(e), 6) exponent_avg, round(stddev_pop(e), 6) exponent_std, count(distinct v) unique_values, round(count(distinct v) / count(*), 6) unique_fraction, length(bin(count(distinct v))) index_bits from v")
+#: In DuckDB: the bits u of a positive double v, and their trailing zeros.
+U = "(v::double)::bit::bigint"
+TZ = "(case when u = 0 then 64 else bit_count((u & -u) - 1) end)::bigint"
+
+
+@query(f"with w as (select l_quantity v, floor(log2(l_quantity)) e, {U} u from (select l_quantity, l_quantity v from lineitem)), v as (select *, {TZ} tz from w) select round(avg(tz), 6) tz_avg, round(stddev_pop(tz), 6) tz_std, count(distinct u >> 52) unique_upper12, count(*) n, min(v) val_min, max(v) val_max, round(avg(v), 6) val_avg, round(stddev_pop(v), 6) val_std, min(abs(v)) abs_min, max(abs(v)) abs_max, round(avg(abs(v)), 6) abs_avg, round(stddev_pop(abs(v)), 6) abs_std, min(e) exponent_min, max(e) exponent_max, round(avg(e), 6) exponent_avg, round(stddev_pop(e), 6) exponent_std, count(distinct v) unique_values, round(count(distinct v) / count(*), 6) unique_fraction, length(bin(count(distinct v))) index_bits from v")
 def value_summary(spark, d) -> Frame:
-    return rounded(values.value_summary(table(spark, d, "lineitem"), "l_quantity").drop("tz_avg", "tz_std", "unique_upper12"))
+    return rounded(values.value_summary(table(spark, d, "lineitem"), "l_quantity"))
 
 
-@query()
+@query(f"with w as (select *, {U} u from (select o_orderkey, o_totalprice v from orders)), t as (select *, {TZ} tz from w) select o_orderkey, v, 0::bigint sign, case when u = 0 then 0 else (u >> 52) - 1023 end::bigint exponent, u & 4503599627370495 fraction, u >> 52 upper12, tz trailing_zeros, case when u = 0 then 64 else 64 - length(bin(u)) + tz end::bigint surrounding_zeros from t")
 def double_bits(spark, d) -> Frame:
     return values.double_bits(table(spark, d, "orders"), "o_orderkey", "o_totalprice")
 
 
-@query()
+@query(f"with w as (select *, {U} u from (select o_orderkey i, o_totalprice v from orders)), t as (select i // 64 blk, min({TZ}) least, count(*) n from w group by blk) select sum(least * n) / sum(n) mean_ctz_min from t")
 def ctz_windows(spark, d) -> Frame:
     return values.ctz_windows(table(spark, d, "orders"), "o_orderkey", "o_totalprice", 64)
 
@@ -563,10 +568,10 @@ def bit_means(spark, d) -> Frame:
     return values.bit_means(table(spark, d, "orders"), "o_custkey", 20)
 
 
-@query("select o_orderkey i, bit_count(o_custkey)::int ones, bit_count(xor(o_custkey, o_orderkey))::int distance, (o_custkey >> 3) & 15 mid, o_custkey | 7 low_set, o_custkey & ~7 low_unset, case when o_custkey = 0 then 0 else length(bin(o_custkey)) end bit_length from orders")
+@query("select o_orderkey i, bit_count(o_custkey)::int ones, bit_count(xor(o_custkey, o_orderkey))::int distance, (o_custkey >> 3) & 15 mid, o_custkey | 7 low_set, o_custkey & ~7 low_unset, o_custkey - 4611686018427387904 high_set, o_custkey high_unset, case when o_custkey = 0 then 0 else length(bin(o_custkey)) end bit_length from orders")
 def integer_bits(spark, d) -> Frame:
     c, k = F.col("o_custkey"), F.col("o_orderkey")
-    return table(spark, d, "orders").select(k.alias("i"), F.bit_count(c).alias("ones"), B.hamming(c, k).alias("distance"), B.extract_range(c, 3, 4).alias("mid"), B.set_low(c, 3).alias("low_set"), B.unset_low(c, 3).alias("low_unset"), B.bit_length(c).cast("long").alias("bit_length"))
+    return table(spark, d, "orders").select(k.alias("i"), F.bit_count(c).alias("ones"), B.hamming(c, k).alias("distance"), B.extract_range(c, 3, 4).alias("mid"), B.set_low(c, 3).alias("low_set"), B.unset_low(c, 3).alias("low_unset"), B.set_high(c, 2).alias("high_set"), B.unset_high(B.set_high(c, 2), 3).alias("high_unset"), B.bit_length(c).cast("long").alias("bit_length"))
 
 
 @query()
