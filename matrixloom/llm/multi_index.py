@@ -2,15 +2,17 @@
 
 Two quantisers of K centroids each, fitted on at most SAMPLE vectors, code the halves of a vector;
 the pair of codes is its cell. A query walks the pairs of centroids from the best summed nearness
-down, with a heap, until the cells hold SHARE of the index (LEAST vectors at least), and the entries
-of those cells are reranked by the exact inner product. Cells are laid into blocks of about BLOCK
-vectors, cell beside cell; a cell that is larger fills blocks of its own. A query goes only to blocks
-that hold a cell of its walk, and queries are dealt in chunks, so a task holds one block and one
-chunk. Equal vectors are one entry that keeps their TOP + 1 smallest ids: as all have one score, no
-other id can be among the TOP results.
-
-SHARE is what vectors without any structure need for a recall of 0.9 at TOP = 20 (README has the
-measured recall); clustered vectors do with far less, and cost falls with it.
+down, with a heap, until the cells hold a share of the index, and the entries of those cells are
+reranked by the exact inner product. Cells are laid into blocks, cell beside cell; a cell that is
+larger fills blocks of its own. A query goes only to the blocks that hold a cell of its walk; a task
+holds the entries of one block and streams past them the queries sent there. Vectors are copied only
+once for each CHUNK of queries. Equal vectors are one entry that keeps their TOP + 1 smallest ids: as
+all have one score, no other id can be among the TOP results.
+
+The share is learned: PROBES vectors of the fitted sample are searched in the sample by brute force,
+and the walk must reach RECALL of what they find. Vectors without structure need about half of the
+index, clustered ones far less (README has figures). In the whole index the nearest lie nearer than
+in a sample, so a share that serves the sample serves the index.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part, nor do null ids; rows that repeat an id and its vector count
@@ -22,7 +24,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,9 +35,11 @@ from pyspark.sql import functions as F
 from matrixloom.llm.common import cut, table
 
 K, SAMPLE, ROUNDS = 64, 20_000, 10
-SHARE, LEAST, TOP = 0.5, 2000, 20
-#: Vectors of a block, and queries of a chunk.
-BLOCK, CHUNK = 4096, 512
+RECALL, PROBES, TOP = 0.95, 512, 20
+#: A block has one in BLOCKS of the vectors, but so many at least and at most.
+BLOCKS, BLOCK_LEAST, BLOCK_MOST = 64, 2048, 1 << 16
+#: Queries for which a block is copied once, tasks at most (a task takes several blocks beyond), scores held at once.
+CHUNK, TASKS, SCORES = 1 << 16, 1 << 14, 1 << 21
 #: Queries that one task walks.
 WALKS = 128
 
@@ -67,7 +72,7 @@ class Codes:
     def cells(self, x: np.ndarray) -> np.ndarray:
         return nearest(x[:, : self.half], self.c[0]) * len(self.c[1]) + nearest(x[:, self.half :], self.c[1])
 
-    def lay(self, counts: np.ndarray, block: int = BLOCK) -> None:
+    def lay(self, counts: np.ndarray, block: int) -> None:
         """From vectors of each cell: its first block and how many blocks it fills."""
         self.counts = counts
         self.first, self.blocks = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
@@ -102,6 +107,23 @@ class Codes:
         return np.array(found, np.int64)
 
 
+def needed_share(codes: Codes, x: np.ndarray, top: int, recall: float, probes: int = PROBES) -> float:
+    """Share of x that walks from evenly drawn rows of x must hold to meet `recall` of the rows' `top` nearest in x."""
+    cell = codes.cells(x)
+    counts = np.bincount(cell, minlength=len(codes.c[0]) * len(codes.c[1]))
+    before = []
+    for i in np.unique(np.linspace(0, len(x) - 1, min(probes, len(x))).astype(int)):
+        s = x @ x[i]
+        s[i] = -np.inf
+        near = np.argsort(-s, kind="stable")[: min(top, len(x) - 1)]
+        order = np.argsort(-np.add.outer(codes.c[0] @ x[i][: codes.half], codes.c[1] @ x[i][codes.half :]).ravel(), kind="stable")
+        held = np.empty(len(order), np.int64)
+        held[order] = np.cumsum(counts[order]) - counts[order]
+        before.append(held[cell[near]])
+    met = np.sort(np.concatenate(before))
+    return (met[min(len(met) - 1, int(recall * len(met)))] + 1) / len(x) if len(met) else 1.0
+
+
 def entries(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id, key (digest of the vector), x (its bytes, float64) of the rows that take part."""
     sizes = rows.where(F.col(vec_col).isNotNull()).groupBy(F.size(vec_col).alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
@@ -132,9 +154,9 @@ def best(scores: np.ndarray, first: np.ndarray, top: int) -> np.ndarray:
     return at[np.lexsort((first[at], -scores[at]))][:top]
 
 
-def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", top: int = TOP, share: float = SHARE, least: int = LEAST, k: int = K, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", top: int = TOP, recall: float = RECALL, share: float | None = None, least: int = 0, k: int = K, block: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that `is_query` (a condition on the column id) the
-    `top` others with the largest inner products found."""
+    `top` others with the largest inner products found. A given share is taken in place of the learned one."""
     spark = rows.sparkSession
     all_rows = cut(entries(rows, id_col, vec_col), "vectors")
     order = Window.partitionBy("key").orderBy("id")
@@ -146,10 +168,12 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
     if not total:
         return spark.createDataFrame([], schema)
     part = F.shiftrightunsigned(F.xxhash64("key", F.lit("fit")), 33) / float(2**31)
-    sample = index.where(part < min(1.0, SAMPLE / total)).select("x").toPandas()
+    sample = index.where(part < min(1.0, SAMPLE / total)).select("key", "x").toPandas()
     if sample.empty:
-        sample = index.select("x").limit(1).toPandas()
-    codes = Codes(matrix(sample["x"]), k)
+        sample = index.select("key", "x").orderBy("key").limit(1).toPandas()
+    fitted = matrix(sample.sort_values("key")["x"])
+    codes = Codes(fitted, k)
+    share = needed_share(codes, fitted, top, recall) if share is None else share
     n_cells = len(codes.c[0]) * len(codes.c[1])
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,9 +186,9 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
     counts = np.zeros(n_cells, np.int64)
     for r in coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # k * k rows at most
         counts[r["cell"]] = r["n"]
-    codes.lay(counts, block)
-    want = max(least, int(share * total))
-    queries = asked.groupBy("key").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    codes.lay(counts, block or min(BLOCK_MOST, max(BLOCK_LEAST, total // BLOCKS)))
+    want = max(least, top + 1, math.ceil(share * total))
+    queries = asked.groupBy("key").agg(F.first("x").alias("x"))
     n_queries = queries.count()
     chunks = max(1, -(-n_queries // chunk))
     shared = spark.sparkContext.broadcast(codes)
@@ -180,8 +204,8 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
                 by = np.argsort(blocks, kind="stable")
                 for part in np.split(by, np.flatnonzero(np.diff(blocks[by])) + 1):
                     if len(part):
-                        out.append((int(blocks[part[0]]), int(key[:8], 16) % chunks, key, raw, cells[part].astype("<i4").tobytes()))
-            yield pd.DataFrame(out, columns=["block", "chunk", "key", "x", "cells"])
+                        out.append((int(blocks[part[0]]) * chunks + int(key[:8], 16) % chunks, key, raw, cells[part].astype("<i4").tobytes()))
+            yield pd.DataFrame(out, columns=["task", "key", "x", "cells"])
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = shared.value
@@ -191,26 +215,47 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
             pdf["block"] = at.first[cell] + salt % at.blocks[cell]
             yield pdf
 
-    def rerank(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(e):
-            e = e.sort_values("key")
-            x, y = matrix(e["x"]), matrix(q["x"])
-            cells, column = np.unique(e["cell"].to_numpy(), return_inverse=True)
-            first = np.array([i[0] for i in e["ids"]])
-            ids = e["ids"].to_list()
-            s = y @ x.T
-            for i, (key, walked) in enumerate(zip(q["key"], q["cells"], strict=True)):
-                probed = np.isin(cells, np.frombuffer(walked, "<i4"))
-                at = best(np.where(probed[column], s[i], -np.inf), first, top + 1)
-                exact = (x[at] * y[i]).sum(1)
-                out += [(key, float(v), ids[a]) for v, a in zip(exact, at, strict=True)]
-        return pd.DataFrame(out, columns=["key", "score", "ids"])
+    def answers(e: pd.DataFrame) -> Callable[[pd.DataFrame], Iterator[pd.DataFrame]]:
+        """From the entries of a block: results for queries, as many at a time as keep their scores under SCORES."""
+        x, ids = matrix(e["x"]), e["ids"].to_list()
+        cells, column = np.unique(e["cell"].to_numpy(), return_inverse=True)
+        first, step = np.array([i[0] for i in ids]), max(1, SCORES // len(e))
+
+        def run(q: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            for lo in range(0, len(q), step):
+                some, out = q.iloc[lo : lo + step], []
+                y = matrix(some["x"])
+                s = y @ x.T
+                for i, (key, walked) in enumerate(zip(some["key"], some["cells"], strict=True)):
+                    probed = np.isin(cells, np.frombuffer(walked, "<i4"))
+                    at = best(np.where(probed[column], s[i], -np.inf), first, top + 1)
+                    exact = (x[at] * y[i]).sum(1)
+                    out += [(key, float(v), ids[a]) for v, a in zip(exact, at, strict=True)]
+                yield pd.DataFrame(out, columns=["key", "score", "ids"])
+
+        return run
+
+    def rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, held, run = None, [], None
+        for pdf in batches:
+            for (at, asks), some in pdf.groupby(["task", "asks"], sort=False):  # as sorted: a block's entries, then its queries
+                if at != task:
+                    task, held, run = at, [], None
+                if not asks:
+                    held.append(some)
+                elif held:
+                    run = run or answers(pd.concat(held))
+                    yield from run(some)
 
     dealt = queries.select("key", "x").repartition(max(1, -(-n_queries // WALKS)), "key")
-    routed = dealt.mapInPandas(route, "block long, chunk long, key string, x binary, cells binary")
-    placed = coded.mapInPandas(place, "key string, x binary, ids array<long>, cell long, block long").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
-    found = routed.groupBy("block", "chunk").cogroup(placed.groupBy("block", "chunk")).applyInPandas(rerank, "key string, score double, ids array<long>")
+    routed = dealt.mapInPandas(route, "task long, key string, x binary, cells binary")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
+    placed = coded.mapInPandas(place, "key string, x binary, ids array<long>, cell long, block long").withColumn("chunk", copies)
+    here = placed.select((F.col("block") * chunks + F.col("chunk")).alias("task"), F.lit(False).alias("asks"), "key", "x", "cell", F.lit(b"").alias("cells"), "ids")
+    there = routed.select("task", F.lit(True).alias("asks"), "key", "x", F.lit(0).cast("long").alias("cell"), "cells", F.array().cast("array<long>").alias("ids"))
+    tasks = min(TASKS, chunks * int((codes.first + codes.blocks).max()))
+    met = here.unionByName(there).repartitionById(tasks, (F.col("task") % tasks).cast("int")).sortWithinPartitions("task", "asks", "key")
+    found = met.mapInPandas(rerank, "key string, score double, ids array<long>")
     flat = found.select("key", "score", F.explode("ids").alias("vec_id"))
     near = cut(flat.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= top + 1), "near")
     own = asked.select(F.col("id").alias("query_id"), "key").join(near, "key").where("query_id != vec_id")

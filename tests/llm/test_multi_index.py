@@ -80,3 +80,34 @@ def test_cells_over_a_block():
     codes = M.Codes(np.random.default_rng(3).normal(size=(50, 4)), 2)
     codes.lay(np.array([5, 25, 3, 4]), 10)
     assert codes.first.tolist() == [0, 1, 4, 4] and codes.blocks.tolist() == [1, 3, 1, 1]
+
+
+def clustered(n, seed=4):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(40, 8))
+    return c[rng.integers(0, 40, n)] + 0.05 * rng.normal(size=(n, 8))
+
+
+def test_share_is_learned():
+    x, y = clustered(2000), np.random.default_rng(5).normal(size=(2000, 8))
+    shares = []
+    for v in (x, y):
+        codes = M.Codes(v, 16)
+        shares.append(M.needed_share(codes, v, 10, 0.95, 100))
+        counts = np.bincount(codes.cells(v), minlength=256)
+        codes.lay(counts, 512)
+        hits = 0
+        for i in range(0, 2000, 20):
+            s = v @ v[i]
+            s[i] = -np.inf
+            walked = codes.walk(v[i], int(np.ceil(shares[-1] * 2000)))
+            hits += np.isin(codes.cells(v)[np.argsort(-s)[:10]], walked).sum()
+        assert hits / 1000 >= 0.9
+    assert shares[0] < 0.2 < shares[1]
+    assert M.needed_share(M.Codes(x[:1], 16), x[:1], 10, 0.95) == 1.0
+
+
+def test_recall_with_learned_share(spark):
+    rows = [(i, [float(np.float32(y)) for y in v]) for i, v in enumerate(clustered(3000))]
+    got = M.search(frame(spark, rows), F.col("id") % 50 == 0, top=10, k=16, block=100, chunk=7).collect()
+    assert check(got, brute(rows, lambda i: i % 50 == 0, 10), exact=False) >= 0.9
