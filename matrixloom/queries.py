@@ -47,7 +47,7 @@ def matrix_s(spark: SparkSession, d: str) -> SparseFrame:
     return convert.dedupe_sum(SparseFrame.of(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", "l_quantity", m, n))
 
 
-def matrix_e(spark: SparkSession, d: str, n: int = 500) -> SparseFrame:
+def matrix_e(spark: SparkSession, d: str, n: int) -> SparseFrame:
     return SparseFrame.of(table(spark, d, "events"), "user_id", F.col("event_id") % n, F.lit(1.0), 1 << 20, n)
 
 
@@ -55,9 +55,9 @@ def part_k2(spark: SparkSession, d: str) -> DenseFrame:
     return DenseFrame.of(table(spark, d, "part"), "p_partkey", "p_size", F.lit(1))
 
 
-def fixed_vectors(spark: SparkSession, d: str, n: int = 500) -> DenseFrame:
-    """The first n embeddings in whole ten-thousandths, so that sums don't depend on their order."""
-    v = table(spark, d, "embeddings").where(F.col("vec_id") < n)
+def fixed_vectors(spark: SparkSession, d: str) -> DenseFrame:
+    """All embeddings in whole ten-thousandths, so that sums don't depend on their order."""
+    v = table(spark, d, "embeddings")
     return DenseFrame(v.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 10000).cast("double")).alias("vec")), 64)
 
 
@@ -85,34 +85,21 @@ def spmm_full_rows(spark, d) -> Frame:
     return matmul.vec_columns(matmul.spmm(matrix_a(spark, d), part_k2(spark, d), full_rows=True), 2)
 
 
-@query('with x as (select vec_id, unnest(embedding) e, unnest(range(64)) c from embeddings where vec_id < 500) select user_id "row", c::int c, sum(floor(e::double * 10000)) y from events join x on vec_id = event_id % 500 group by all')
-def spmm_embedding_fixedpoint(spark, d) -> Frame:
-    return matmul.spmm(matrix_e(spark, d), fixed_vectors(spark, d), dense_rows=500).select("row", F.posexplode("vec").alias("c", "y"))
-
-
 @query('select l_orderkey "row", sum(l_quantity * p_size) y from lineitem join part on l_partkey = p_partkey group by 1')
 def spmv_part(spark, d) -> Frame:
     return matmul.spmv(matrix_a(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x")))
 
 
-@query('with x as (select vec_id, list_transform(embedding, lambda e: floor(e::double * 10000)) v from embeddings where vec_id < 500) select user_id "row", event_id % 500 col, list_dot_product(u.v, w.v) val from events join x u on u.vec_id = user_id % 500 join x w on w.vec_id = event_id % 500')
-def sddmm_embedding_fixedpoint(spark, d) -> Frame:
-    e, x = matrix_e(spark, d), fixed_vectors(spark, d)
-    users = e.entries.select("row").distinct()
-    u = DenseFrame(users.join(F.broadcast(x.data), F.col("row") % 500 == x.data["id"]).select(F.col("row").alias("id"), "vec"), 64)
-    return matmul.sddmm(e, u, x, v_rows=500)
-
-
 @query('with x as (select vec_id, unnest(embedding) e, unnest(range(64)) c from embeddings), t as (select count(*) n from embeddings) select user_id "row", c::int c, sum(floor(e::double * 10000)) y from events cross join t join x on vec_id = event_id % n group by all')
 def spmm_embedding_all(spark, d) -> Frame:
     n = table(spark, d, "embeddings").count()
-    return matmul.spmm(matrix_e(spark, d, n), fixed_vectors(spark, d, n), dense_rows=n).select("row", F.posexplode("vec").alias("c", "y"))
+    return matmul.spmm(matrix_e(spark, d, n), fixed_vectors(spark, d), dense_rows=n).select("row", F.posexplode("vec").alias("c", "y"))
 
 
 @query('with x as (select vec_id, list_transform(embedding, lambda e: floor(e::double * 10000)) v from embeddings), t as (select count(*) n from embeddings) select user_id "row", event_id % n col, list_dot_product(u.v, w.v) val from events cross join t join x u on u.vec_id = user_id % n join x w on w.vec_id = event_id % n')
 def sddmm_embedding_all(spark, d) -> Frame:
     n = table(spark, d, "embeddings").count()
-    e, x = matrix_e(spark, d, n), fixed_vectors(spark, d, n)
+    e, x = matrix_e(spark, d, n), fixed_vectors(spark, d)
     users = e.entries.select("row").distinct()
     u = DenseFrame(users.join(x.data, F.col("row") % n == x.data["id"]).select(F.col("row").alias("id"), "vec"), 64)
     return matmul.sddmm(e, u, x, v_rows=n)
