@@ -4,9 +4,10 @@ Two quantisers of K centroids each, fitted on at most SAMPLE vectors, code the h
 the pair of codes is its cell. A query walks the pairs of centroids from the best summed nearness
 down, with a heap, until the cells hold a share of the index, and the entries of those cells are
 reranked by the exact inner product. Cells are laid into blocks, cell beside cell; a cell that is
-larger fills blocks of its own. A query goes only to the blocks that hold a cell of its walk; a task
-holds the entries of one block and streams past them the queries sent there. Vectors are copied only
-once for each CHUNK of queries. Equal vectors are one entry that keeps their TOP + 1 smallest ids: as
+larger fills blocks of its own. A query goes only to the blocks that hold a cell of its walk, about
+BLOCKS of them at any size; a task holds a chunk of the queries sent to a block and what they found,
+and streams the block's entries past them. So queries and results grow as the queries, and vectors are
+copied only once for each CHUNK of queries. Equal vectors are one entry that keeps their TOP + 1 smallest ids: as
 all have one score, no other id can be among the TOP results.
 
 The share is learned: PROBES vectors of the fitted sample are searched in the sample by brute force,
@@ -25,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,10 +37,10 @@ from matrixloom.llm.common import cut, table
 
 K, SAMPLE, ROUNDS = 64, 20_000, 10
 RECALL, PROBES, TOP = 0.95, 512, 20
-#: A block has one in BLOCKS of the vectors, but so many at least and at most.
-BLOCKS, BLOCK_LEAST, BLOCK_MOST = 64, 2048, 1 << 16
+#: A block has one in BLOCKS of the vectors, but so many at least.
+BLOCKS, BLOCK_LEAST = 8, 512
 #: Queries for which a block is copied once, tasks at most (a task takes several blocks beyond), scores held at once.
-CHUNK, TASKS, SCORES = 1 << 16, 1 << 14, 1 << 21
+CHUNK, TASKS, SCORES = 1 << 14, 1 << 14, 1 << 21
 #: Queries that one task walks.
 WALKS = 128
 
@@ -145,13 +146,47 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
 
 
-def best(scores: np.ndarray, first: np.ndarray, top: int) -> np.ndarray:
-    """Positions of the `top` largest finite scores, ties to the smaller first id."""
-    at = np.flatnonzero(scores > -np.inf)
-    if len(at) > top:
-        least = np.partition(scores[at], len(at) - top)[len(at) - top]
-        at = at[scores[at] >= least]
-    return at[np.lexsort((first[at], -scores[at]))][:top]
+class Nearest:
+    """Queries (key, x, cells) and the `top` best entries of their cells so far, ties to the smaller first id."""
+
+    def __init__(self, asked: pd.DataFrame, top: int):
+        self.keys, self.y, self.top = asked["key"].to_numpy(), matrix(asked["x"]), top
+        walked = [np.frombuffer(c, "<i4") for c in asked["cells"]]
+        self.cells, at = np.unique(np.concatenate(walked), return_inverse=True)
+        self.probed = np.zeros((len(asked), len(self.cells)), bool)
+        self.probed[np.repeat(np.arange(len(asked)), [len(w) for w in walked]), at] = True
+        self.least = np.full(len(asked), -np.inf)  # a query's worst kept score, once it has `top`
+        self.found = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, object))  # query, score, first id, ids
+
+    def meet(self, entries: pd.DataFrame) -> None:
+        at = np.searchsorted(self.cells, entries["cell"]).clip(max=len(self.cells) - 1)
+        known = self.cells[at] == entries["cell"].to_numpy()
+        at, entries = at[known], entries[known]
+        if not len(at):
+            return
+        x, ids = matrix(entries["x"]), entries["ids"].to_numpy()
+        first = np.array([i[0] for i in ids], np.int64)
+        wanted = np.flatnonzero(self.probed[:, np.unique(at)].any(1))
+        parts, step = [self.found], max(1, SCORES // len(at))
+        for lo in range(0, len(wanted), step):
+            rows = wanted[lo : lo + step]
+            s = np.where(self.probed[np.ix_(rows, at)], self.y[rows] @ x.T, -np.inf)
+            least = self.least[rows]
+            if len(at) > self.top:
+                least = np.maximum(least, np.partition(s, len(at) - self.top, axis=1)[:, len(at) - self.top])
+            i, j = np.nonzero((s >= (least - 1e-9 * np.abs(least))[:, None]) & (s > -np.inf))
+            parts.append((rows[i], (x[j] * self.y[rows[i]]).sum(1), first[j], ids[j]))
+        query, score, first, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((first, -score, query))
+        starts = np.searchsorted(query[order], query[order])
+        place = np.arange(len(order)) - starts
+        last = order[place == self.top - 1]
+        self.least[query[last]] = score[last]
+        order = order[place < self.top]
+        self.found = (query[order], score[order], first[order], ids[order])
+
+    def results(self) -> pd.DataFrame:
+        return pd.DataFrame({"key": self.keys[self.found[0]], "score": self.found[1], "ids": self.found[3]})
 
 
 def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", top: int = TOP, recall: float = RECALL, share: float | None = None, least: int = 0, k: int = K, block: int | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -186,7 +221,7 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
     counts = np.zeros(n_cells, np.int64)
     for r in coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # k * k rows at most
         counts[r["cell"]] = r["n"]
-    codes.lay(counts, block or min(BLOCK_MOST, max(BLOCK_LEAST, total // BLOCKS)))
+    codes.lay(counts, block or max(BLOCK_LEAST, -(-total // BLOCKS)))
     want = max(least, top + 1, math.ceil(share * total))
     queries = asked.groupBy("key").agg(F.first("x").alias("x"))
     n_queries = queries.count()
@@ -215,46 +250,30 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
             pdf["block"] = at.first[cell] + salt % at.blocks[cell]
             yield pdf
 
-    def answers(e: pd.DataFrame) -> Callable[[pd.DataFrame], Iterator[pd.DataFrame]]:
-        """From the entries of a block: results for queries, as many at a time as keep their scores under SCORES."""
-        x, ids = matrix(e["x"]), e["ids"].to_list()
-        cells, column = np.unique(e["cell"].to_numpy(), return_inverse=True)
-        first, step = np.array([i[0] for i in ids]), max(1, SCORES // len(e))
-
-        def run(q: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            for lo in range(0, len(q), step):
-                some, out = q.iloc[lo : lo + step], []
-                y = matrix(some["x"])
-                s = y @ x.T
-                for i, (key, walked) in enumerate(zip(some["key"], some["cells"], strict=True)):
-                    probed = np.isin(cells, np.frombuffer(walked, "<i4"))
-                    at = best(np.where(probed[column], s[i], -np.inf), first, top + 1)
-                    exact = (x[at] * y[i]).sum(1)
-                    out += [(key, float(v), ids[a]) for v, a in zip(exact, at, strict=True)]
-                yield pd.DataFrame(out, columns=["key", "score", "ids"])
-
-        return run
-
     def rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, held, run = None, [], None
+        task, asked, near = None, [], None
         for pdf in batches:
-            for (at, asks), some in pdf.groupby(["task", "asks"], sort=False):  # as sorted: a block's entries, then its queries
+            for (at, entry), some in pdf.groupby(["task", "entry"], sort=False):  # as sorted: a task's queries, then its entries
                 if at != task:
-                    task, held, run = at, [], None
-                if not asks:
-                    held.append(some)
-                elif held:
-                    run = run or answers(pd.concat(held))
-                    yield from run(some)
+                    if near:
+                        yield near.results()
+                    task, asked, near = at, [], None
+                if not entry:
+                    asked.append(some)
+                elif asked:
+                    near = near or Nearest(pd.concat(asked), top + 1)
+                    near.meet(some)
+        if near:
+            yield near.results()
 
     dealt = queries.select("key", "x").repartition(max(1, -(-n_queries // WALKS)), "key")
     routed = dealt.mapInPandas(route, "task long, key string, x binary, cells binary")
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
     placed = coded.mapInPandas(place, "key string, x binary, ids array<long>, cell long, block long").withColumn("chunk", copies)
-    here = placed.select((F.col("block") * chunks + F.col("chunk")).alias("task"), F.lit(False).alias("asks"), "key", "x", "cell", F.lit(b"").alias("cells"), "ids")
-    there = routed.select("task", F.lit(True).alias("asks"), "key", "x", F.lit(0).cast("long").alias("cell"), "cells", F.array().cast("array<long>").alias("ids"))
+    here = placed.select((F.col("block") * chunks + F.col("chunk")).alias("task"), F.lit(True).alias("entry"), "key", "x", "cell", F.lit(b"").alias("cells"), "ids")
+    there = routed.select("task", F.lit(False).alias("entry"), "key", "x", F.lit(0).cast("long").alias("cell"), "cells", F.array().cast("array<long>").alias("ids"))
     tasks = min(TASKS, chunks * int((codes.first + codes.blocks).max()))
-    met = here.unionByName(there).repartitionById(tasks, (F.col("task") % tasks).cast("int")).sortWithinPartitions("task", "asks", "key")
+    met = here.unionByName(there).repartitionById(tasks, (F.col("task") % tasks).cast("int")).sortWithinPartitions("task", "entry", "cell")
     found = met.mapInPandas(rerank, "key string, score double, ids array<long>")
     flat = found.select("key", "score", F.explode("ids").alias("vec_id"))
     near = cut(flat.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= top + 1), "near")

@@ -103,11 +103,11 @@ def test_share_is_learned():
             walked = codes.walk(v[i], int(np.ceil(shares[-1] * 2000)))
             hits += np.isin(codes.cells(v)[np.argsort(-s)[:10]], walked).sum()
         assert hits / 1000 >= 0.9
-    assert shares[0] < 0.2 < shares[1]
+    assert 2 * shares[0] < shares[1]
     assert M.needed_share(M.Codes(x[:1], 16), x[:1], 10, 0.95) == 1.0
 
 
 def test_recall_with_learned_share(spark):
     rows = [(i, [float(np.float32(y)) for y in v]) for i, v in enumerate(clustered(3000))]
-    got = M.search(frame(spark, rows), F.col("id") % 50 == 0, top=10, k=16, block=100, chunk=7).collect()
-    assert check(got, brute(rows, lambda i: i % 50 == 0, 10), exact=False) >= 0.9
+    got = M.search(frame(spark, rows), F.col("id") % 5 == 0, top=10, k=16, block=500, chunk=200).collect()
+    assert check(got, brute(rows, lambda i: i % 5 == 0, 10), exact=False) >= 0.9  # of 600 queries: their recalls have a deviation of 0.23
