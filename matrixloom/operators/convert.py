@@ -87,8 +87,9 @@ def head_tail_interleave(ranked: DataFrame, m: int, block: int) -> DataFrame:
 
 def row_chunks(a: SparseFrame, size: int) -> DataFrame:
     """row, chunk, entries: each row cut into runs of `size` entries; an empty row has one empty chunk."""
-    at = F.row_number().over(Window.partitionBy("row").orderBy("col", "val")) - 1
-    cut = a.entries.withColumn("chunk", F.floor(at / size)).groupBy("row", "chunk").agg(F.count(F.lit(1)).alias("entries"))
+    from matrixloom.operators.features import walk
+
+    cut = walk(a).withColumn("chunk", F.floor((F.col("at") - 1) / size)).groupBy("row", "chunk").agg(F.count(F.lit(1)).alias("entries"))
     return a.rows().join(cut, "row", "left").select("row", F.coalesce("chunk", F.lit(0)).alias("chunk"), F.coalesce("entries", F.lit(0)).alias("entries"))
 
 

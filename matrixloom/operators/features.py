@@ -9,6 +9,9 @@ from matrixloom.model import SparseFrame
 from matrixloom.operators import hist, scan
 
 MB = 1024.0 * 1024.0
+#: Rows of at least HEAVY entries, the HEAVY_ROWS largest, are worked on in up to PARTS parts each; any
+#: other row has less than 1 / HEAVY_ROWS of all entries.
+HEAVY, HEAVY_ROWS, PARTS = 4096, 1024, 256
 
 
 def row_degrees(a: SparseFrame) -> DataFrame:
@@ -47,29 +50,83 @@ def row_footprints(a: SparseFrame, under: int) -> DataFrame:
     return sums.select(size(c("nnz"), c("m")).alias("mb"), size(c("s_nnz"), c("s_m")).alias("short_mb"), size(c("nnz") - c("s_nnz"), c("m") - c("s_m")).alias("long_mb"))
 
 
-def _gaps(a: SparseFrame) -> DataFrame:
-    """Entries with the distance to the last and next entry of the row; null where there is none."""
-    w = Window.partitionBy("row").orderBy("col")
-    return a.entries.withColumns({"before": F.col("col") - F.lag("col").over(w), "after": F.lead("col").over(w) - F.col("col")})
+def filled_rows(a: SparseFrame) -> DataFrame:
+    """row, degree, first_col, last_col of the rows with entries."""
+    return a.entries.groupBy("row").agg(F.count(F.lit(1)).alias("degree"), F.min("col").alias("first_col"), F.max("col").alias("last_col"))
+
+
+def _heavy(a: SparseFrame, window: int) -> DataFrame:
+    """row, _first, _width of the heavy rows: where a row's parts begin, and how many columns one has. HEAVY_ROWS at most."""
+    c = F.col
+    return F.broadcast(
+        filled_rows(a).where(c("degree") >= HEAVY).orderBy(F.desc("degree"), "row").limit(HEAVY_ROWS)
+        .select("row", c("first_col").alias("_first"), F.greatest(F.ceil((c("last_col") - c("first_col") + 1) / PARTS), F.lit(window + 1)).alias("_width"))
+    )
+
+
+def _part(shift: int) -> Column:
+    return F.expr(f"(col + {shift} - _first) div _width")
+
+
+def _in_parts(a: SparseFrame, heavy: DataFrame, window: int) -> DataFrame:
+    """row, col, _home, _part: every entry in its part (0 but in heavy rows), and in those it is within `window` columns of."""
+    spread = F.when(F.col("_first").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.array(_part(0), _part(-window), _part(window))))
+    return a.entries.select("row", "col").join(heavy, "row", "left").select("row", "col", F.coalesce(_part(0), F.lit(0)).alias("_home"), F.explode(spread).alias("_part"))
+
+
+def walk(a: SparseFrame, window: int = 0, max_gap: int = 0) -> DataFrame:
+    """Every entry along its row: row, col, before and after (columns to the last and next entry, null
+    where there is none), neighbours (others within `window` columns), at (its number in the row, from 1),
+    run (number, from 1, of its run: entries with gaps up to max_gap + 1) and start (`at` of the run's first).
+
+    One shuffle by row. Heavy rows are cut by column into parts; a part holds the entries within `window`
+    of it besides, and what passes between parts comes from a broadcast table of one row a part."""
+    c, one, heavy = F.col, F.lit(1), _heavy(a, window)
+    w = Window.partitionBy("row", "_part").orderBy("col")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+
+    cut = a.entries.select("row", "col").join(heavy, "row").select("row", "col", _part(0).alias("_part"))
+    marked = cut.withColumns({"_new": F.coalesce(c("col") - F.lag("col").over(w) > max_gap + 1, F.lit(True)), "_n": F.row_number().over(w)})
+    parts = marked.groupBy("row", "_part").agg(F.count(one).alias("n"), F.min("col").alias("lo"), F.max("col").alias("hi"), F.count_if("_new").alias("news"), F.max(F.when(c("_new"), c("_n"))).alias("start"))
+    by = Window.partitionBy("row").orderBy("_part")  # PARTS rows at most
+    past = by.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"_last": F.lag("hi").over(by), "_next": F.lead("lo").over(by), "_n0": F.sum("n").over(past)})
+    parts = parts.withColumn("news", c("news") - F.coalesce((c("lo") - c("_last") <= max_gap + 1).cast("int"), F.lit(0)))
+    parts = parts.withColumns({"_runs0": F.sum("news").over(past), "_start0": F.last(F.when(c("news") > 0, F.coalesce("_n0", F.lit(0)) + c("start")), ignorenulls=True).over(past)})
+    passed = F.broadcast(parts.select("row", "_part", "_last", "_next", "_n0", "_runs0", "_start0"))
+
+    known = _in_parts(a, heavy, window).join(passed, ["row", "_part"], "left")
+    own = c("_part") == c("_home")
+    near = known.withColumns({
+        "before": c("col") - F.coalesce(F.lag("col").over(w), c("_last")), "after": F.coalesce(F.lead("col").over(w), c("_next")) - c("col"),
+        "neighbours": F.count(one).over(w.rangeBetween(-window, window)) - 1, "at": F.coalesce("_n0", F.lit(0)) + F.count_if(own).over(so_far),
+    }).withColumn("_new", own & F.coalesce(c("before") > max_gap + 1, F.lit(True)))
+    runs = near.withColumns({"run": F.coalesce("_runs0", F.lit(0)) + F.count_if("_new").over(so_far), "start": F.coalesce(F.max(F.when(c("_new"), c("at"))).over(so_far), "_start0")})
+    return runs.where(own).select("row", "col", "before", "after", "neighbours", "at", "run", "start")
 
 
 def distant_nonzeros(a: SparseFrame, max_distance: int) -> DataFrame:
     """One row, distant: entries over max_distance + 1 columns from both neighbours in the row."""
     far = lambda c: F.coalesce(F.col(c) > max_distance + 1, F.lit(True))
-    return _gaps(a).agg(F.count_if(far("before") & far("after")).alias("distant"))
+    return walk(a).agg(F.count_if(far("before") & far("after")).alias("distant"))
 
 
 def row_neighbours(a: SparseFrame, window: int = 1) -> DataFrame:
     """row, col, neighbours: other entries of the row within `window` columns."""
-    w = Window.partitionBy("row").orderBy("col").rangeBetween(-window, window)
-    return a.entries.select("row", "col", (F.count(F.lit(1)).over(w) - 1).alias("neighbours"))
+    w = Window.partitionBy("row", "_part").orderBy("col").rangeBetween(-window, window)
+    return _in_parts(a, _heavy(a, window), window).withColumn("neighbours", F.count(F.lit(1)).over(w) - 1).where("_part = _home").select("row", "col", "neighbours")
 
 
 def next_filled_row(a: SparseFrame) -> DataFrame:
-    """row, next_row: of the rows with entries, each and the next."""
-    filled = a.entries.groupBy("row").agg(F.min("col").alias("first_col"), F.count(F.lit(1)).alias("degree"))
-    both = scan.with_next(filled.withColumn("_row", F.col("row")), scan.id_bucket("row"), ["row"], "_row", "next_row").drop("_row")
-    return scan.with_next(both, scan.id_bucket("row"), ["row"], "first_col", "next_first_col")
+    """row, degree, first_col, last_col, next_row, next_first_col: of the rows with entries, each and the next."""
+    rows = filled_rows(a).withColumn("_own", F.struct("row", "first_col"))
+    both = scan.with_next(rows, scan.id_bucket("row"), ["row"], "_own", "_next")
+    return both.select("row", "degree", "first_col", "last_col", F.col("_next.row").alias("next_row"), F.col("_next.first_col").alias("next_first_col"))
+
+
+def row_tails(a: SparseFrame) -> DataFrame:
+    """row, degree, first_col, last_col, tail: of the rows with entries, and the columns from the last entry to the next row's first; 0 for the last row."""
+    return next_filled_row(a).select("row", "degree", "first_col", "last_col", F.coalesce(F.abs(F.col("next_first_col") - F.col("last_col")), F.lit(0)).alias("tail"))
 
 
 def cross_row_matches(a: SparseFrame, window: int = 1) -> DataFrame:
@@ -93,50 +150,79 @@ def cross_row_similarity(a: SparseFrame, window: int = 1) -> DataFrame:
 
 def column_distances(a: SparseFrame) -> DataFrame:
     """row, col, distance: columns to the next entry in row-major order, across rows; 0 for the last."""
-    w = Window.partitionBy("row").orderBy("col")
-    ends = next_filled_row(a).select("row", "next_first_col")
-    near = a.entries.select("row", "col", F.lead("col").over(w).alias("_next")).join(ends, "row")
-    return near.select("row", "col", F.coalesce(F.abs(F.coalesce("_next", "next_first_col") - F.col("col")), F.lit(0)).alias("distance"))
+    inner = walk(a).where("after is not null").select("row", "col", F.col("after").alias("distance"))
+    return inner.unionByName(row_tails(a).select("row", F.col("last_col").alias("col"), F.col("tail").alias("distance")))
+
+
+def _ends_run(max_gap: int) -> Column:
+    return F.coalesce(F.col("after") > max_gap + 1, F.lit(True))
 
 
 def column_groups(a: SparseFrame, max_gap: int = 0) -> DataFrame:
     """row, group, size, distance: runs of a row's entries with gaps up to max_gap + 1, and each run's
     distance to the next entry in row-major order."""
-    w = Window.partitionBy("row").orderBy("col")
-    gap = F.col("col") - F.lag("col").over(w)
-    marked = a.entries.select("row", "col", F.when(gap <= max_gap + 1, 0).otherwise(1).alias("_new"))
-    spans = marked.withColumn("group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("row", "group").agg(F.count(F.lit(1)).alias("size"), F.min("col").alias("_first"), F.max("col").alias("_last"))
-    runs = spans.withColumn("_next", F.lead("_first").over(Window.partitionBy("row").orderBy("group")))
-    ends = next_filled_row(a).select("row", "next_first_col")
-    return runs.join(ends, "row").select("row", "group", "size", F.coalesce(F.abs(F.coalesce("_next", "next_first_col") - F.col("_last")), F.lit(0)).alias("distance"))
+    last = walk(a, 0, max_gap).where(_ends_run(max_gap)).select("row", F.col("run").alias("group"), (F.col("at") - F.col("start") + 1).alias("size"), "after", F.when(F.col("after").isNull(), F.col("row")).otherwise(-F.col("at")).alias("_key"))
+    tails = row_tails(a).select(F.col("row").alias("_key"), "tail")  # keys of a row's other runs are below 0 and spread
+    return last.join(tails, "_key", "left").select("row", "group", "size", F.coalesce("after", "tail").alias("distance"))
 
 
 def groups_per_row(a: SparseFrame, max_gap: int = 0) -> DataFrame:
-    counts = column_groups(a, max_gap).groupBy("row").agg(F.count(F.lit(1)).alias("groups"))
+    counts = walk(a, 0, max_gap).groupBy("row").agg(F.max("run").alias("groups"))
     return a.rows().join(counts, "row", "left").select("row", F.coalesce("groups", F.lit(0)).alias("groups"))
 
 
-def _stats(name: str, c: Column) -> list[Column]:
+MOMENTS = ("n", "min", "max", "avg", "var")
+
+
+def _moments(name: str, c: Column) -> list[Column]:
+    """MOMENTS of the values that aren't null."""
     c = c.cast("double")
-    return [F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max"), F.avg(c).alias(f"{name}_avg"), F.stddev_pop(c).alias(f"{name}_std")]
+    return [f(c).alias(f"{name}_{m}") for m, f in zip(MOMENTS, (F.count, F.min, F.max, F.avg, F.var_pop), strict=True)]
+
+
+def _stats(name: str, *parts: str, zeros: Column | None = None) -> dict[str, Column]:
+    """min, max, avg and population std of the values of several moments, and of `zeros` noughts, together."""
+    sets = [{m: F.col(f"{part}_{m}") for m in MOMENTS} for part in parts]
+    if zeros is not None:
+        nought = F.when(zeros > 0, F.lit(0.0))
+        sets.append({"n": zeros, "min": nought, "max": nought, "avg": nought, "var": nought})
+    pick = lambda f, m: f(*[s[m] for s in sets]) if len(sets) > 1 else sets[0][m]
+    weigh = lambda g: sum((F.coalesce(s["n"] * g(s), F.lit(0.0)) for s in sets[1:]), F.coalesce(sets[0]["n"] * g(sets[0]), F.lit(0.0)))
+    n = F.nullif(weigh(lambda s: F.lit(1.0)), F.lit(0.0))
+    avg = weigh(lambda s: s["avg"]) / n
+    std = F.sqrt(weigh(lambda s: s["var"] + (s["avg"] - avg) * (s["avg"] - avg)) / n)
+    return {f"{name}_min": pick(F.least, "min"), f"{name}_max": pick(F.greatest, "max"), f"{name}_avg": avg, f"{name}_std": std}
 
 
 def matrix_features(a: SparseFrame, window: int = 1, max_gap: int = 0) -> DataFrame:
-    """One wide row: dimensions, density, footprint, and min, max, avg and population std of every feature."""
+    """One wide row: dimensions, density, footprint, and min, max, avg and population std of every feature.
+
+    What a row's entries say comes from one walk along the rows and one aggregate; empty rows and
+    columns, and the steps from row to row, come in as moments of their own. What a matrix without
+    entries has no mean of is null."""
     c = F.col
-    spans = row_spans(a).agg(*_stats("nnz_per_row", c("degree")), *_stats("bw_scaled", c("bandwidth") / a.n), *_stats("sc", c("scatter")), F.sum("degree").alias("nnz"))
-    cols = col_degrees(a).agg(*_stats("nnz_per_col", c("degree")))
-    neighbours = row_neighbours(a, window).agg(*_stats("num_neigh", c("neighbours")))
-    distances = column_distances(a).agg(*_stats("nnz_col_dist", c("distance")))
-    groups = column_groups(a, max_gap)
-    sizes = groups.agg(*_stats("group_sizes", c("size")), *_stats("group_col_dist", c("distance")), F.count(F.lit(1)).alias("num_groups"))
-    per_row = groups_per_row(a, max_gap).agg(*_stats("groups_per_row", c("groups")))
-    wide = spans
-    for part in (cols, neighbours, distances, sizes, per_row, cross_row_similarity(a, window)):
-        wide = wide.crossJoin(part)  # one row each
-    return wide.withColumns({
+    ends, width = _ends_run(max_gap), c("last_col") - c("first_col")
+    entries = walk(a, window, max_gap).agg(
+        *_moments("num_neigh", c("neighbours")), *_moments("_step", c("after")), *_moments("group_sizes", F.when(ends, c("at") - c("start") + 1)),
+        *_moments("_leap", F.when(ends, c("after"))), *_moments("_groups", F.when(c("after").isNull(), c("run"))),
+    )
+    rows = row_tails(a).agg(
+        *_moments("_degree", c("degree")), *_moments("_bw", width / a.n), *_moments("_sc", F.when(width > 0, c("degree") / width).otherwise(F.lit(0.0))), *_moments("_tail", c("tail")),
+        F.coalesce(F.sum("degree"), F.lit(0)).alias("nnz"),
+    )
+    cols = a.entries.groupBy("col").agg(F.count(F.lit(1)).alias("degree")).agg(*_moments("_in", c("degree")))
+    wide = entries.crossJoin(rows).crossJoin(cols).crossJoin(cross_row_similarity(a, window))  # one row each
+    no_row, no_col = F.lit(a.m) - c("_degree_n"), F.lit(a.n) - c("_in_n")
+    stats = {
+        **_stats("nnz_per_row", "_degree", zeros=no_row), **_stats("bw_scaled", "_bw", zeros=no_row), **_stats("sc", "_sc", zeros=no_row), **_stats("nnz_per_col", "_in", zeros=no_col),
+        **_stats("num_neigh", "num_neigh"), **_stats("nnz_col_dist", "_step", "_tail"), **_stats("group_sizes", "group_sizes"), **_stats("group_col_dist", "_leap", "_tail"),
+        **_stats("groups_per_row", "_groups", zeros=no_row),
+    }
+    some = lambda x: F.nullif(c(x), F.lit(0.0))
+    told = wide.select("nnz", "cross_row_similarity", c("group_sizes_n").alias("num_groups"), *[v.alias(k) for k, v in stats.items()])
+    return told.withColumns({
         "m": F.lit(a.m).cast("long"), "n": F.lit(a.n).cast("long"), "density": c("nnz") * 100.0 / (float(a.m) * a.n), "mem_footprint": (c("nnz") * 12 + (a.m + 1) * 4) / MB,
-        "skew": (c("nnz_per_row_max") - c("nnz_per_row_avg")) / c("nnz_per_row_avg"), "nnz_per_cluster": c("nnz_per_row_avg") / c("groups_per_row_avg"),
+        "skew": (c("nnz_per_row_max") - c("nnz_per_row_avg")) / some("nnz_per_row_avg"), "nnz_per_cluster": c("nnz_per_row_avg") / some("groups_per_row_avg"),
     })
 
 
@@ -150,7 +236,7 @@ def validation_line(a: SparseFrame, window: int = 1) -> DataFrame:
     wide = spans.crossJoin(row_neighbours(a, window).agg(F.avg("neighbours").alias("num_neigh_avg"))).crossJoin(cross_row_similarity(a, window))
     return wide.withColumns({
         "m": F.lit(a.m).cast("long"), "n": F.lit(a.n).cast("long"), "sparsity": 1 - c("nnz") / (float(a.m) * a.n), "mem_footprint": (c("nnz") * 12 + (a.m + 1) * 4) / MB,
-        "skew": (c("_most") - c("nnz_per_row_avg")) / c("nnz_per_row_avg"),
+        "skew": (c("_most") - c("nnz_per_row_avg")) / F.nullif("nnz_per_row_avg", F.lit(0.0)),
     }).select(*VALIDATION)
 
 
