@@ -1,4 +1,4 @@
-"""Near-duplicate texts by SimHash: five-word shingles, Jaccard similarity of 0.8 or more.
+"""Near-duplicate texts by SimHash with pivot distance tables: five-word shingles, Jaccard similarity of 0.8 or more.
 
 At that similarity about one fingerprint bit in seven differs, far beyond what blocks of a 64-bit
 fingerprint can promise. So a text gets 1024 bits (sixteen hashes of each shingle), and as many tables
@@ -8,6 +8,14 @@ of a bucket within REACH differing bits of the first SENT words are candidates,
 exact Jaccard similarity of the two whole texts' shingle sets. The bits of a key grow with the
 logarithm of the corpus, and the tables with them, so the work a document costs hardly grows.
 
+What is near in a bucket of over WIDE rows is told from pivot distance tables. Pivots are rows of the bucket itself, PIVOTS or
+more at a time (drawn at random they would discard nothing: all rows lie half the bits away from them), and
+the table has the Hamming distances of all rows left to them. That settles the pivots' own pairs. A row near a pivot
+and within BALL of it belongs to its ball. By the triangle inequality rows farther from the pivot than
+the ball's radius and REACH together are near none of the ball, and aren't compared with it; nor are rows that
+the table has joined to the pivot, as they are in one component. Pivots and balls are done then; the rows left
+get the next pivots, until none is left. That is exact. In smaller buckets every row is a pivot.
+
 Only who is in a group with whom is asked for, so no pairs are passed on. A task that holds buckets
 finds all near pairs in them and passes on a forest with the same components. The first pass takes
 FIRST of the tables; the second takes all, and looks only at pairs that the first has not joined, so no
@@ -48,8 +56,10 @@ SENT, REACH, WIDE_REACH, FEW = 4, 62, 205, 1.02
 SHORT, SHORT_REACH, SHORT_WIDE_REACH = 16, 86, 260
 #: Tables of the first pass; rows over which a bucket is dealt in parts, one row in COUNTED of which is counted.
 FIRST, SPLIT, COUNTED = 8, 8192, 16
-#: Rows of a bucket up to which those of many buckets are compared at once; comparisons and pairs held.
-WIDE, HELD = 64, 1 << 20
+#: Rows of a bucket up to which those of many buckets are compared at once; comparisons and pairs held; comparisons at once.
+WIDE, HELD, GRID = 32, 1 << 20, 1 << 16
+#: Pivots of a table at least, and the most that a ball's radius is.
+PIVOTS, BALL = 24, 31
 #: Texts of a cluster, and bytes of their shingle sets, that are verified against as many.
 PART, PART_BYTES = 512, 1 << 24
 #: Nodes up to which the table of candidates is broadcast, 8 bytes each.
@@ -126,6 +136,14 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
+def grid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of every fingerprint of a and every one of b."""
+    out = np.zeros((len(a), len(b)), np.int16)
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+        out += np.bitwise_count(x[:, None] ^ y)
+    return out
+
+
 class Rows:
     """Rows of buckets: node, root of what is joined already, size (shingles), fp (words sent along)."""
 
@@ -154,8 +172,9 @@ def steps(rows: Rows, last: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.nda
         at = at[last[at] > at + step]
 
 
-def all_pairs(key: np.ndarray, rows: Rows, wide: int = WIDE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The roots of all near pairs of a stretch of buckets, where they differ, some at a time."""
+def all_pairs(key: np.ndarray, rows: Rows, wide: int = WIDE, whole: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The roots of all near pairs of a stretch of buckets, where they differ, some at a time; where not `whole`, of
+    enough of them for the same components."""
     by = np.lexsort((rows.root, key))
     key, rows = key[by], rows[by]
     first, last = np.searchsorted(key, key, side="left"), np.searchsorted(key, key, side="right")
@@ -163,17 +182,58 @@ def all_pairs(key: np.ndarray, rows: Rows, wide: int = WIDE) -> Iterator[tuple[n
     yield from steps(rows, last, np.flatnonzero(small))
     for at in np.unique(first[~small]):
         own = rows[at : last[at]]
-        n, every = len(own.node), np.arange(len(own.node))
-        beyond = np.searchsorted(own.root, own.root, side="right")  # rows are sorted by root: the first of the next root
-        i = 0
-        while i < n:
-            after = int(beyond[i])
-            if after == n:
-                break
-            j = min(n, i + max(1, HELD // (n - after)))
-            x, y = np.nonzero(own.near(every[i:j, None], every[None, after:]) & (every[None, after:] >= beyond[i:j, None]))
-            yield own.root[i + x], own.root[after + y]
-            i = j
+        for x, y in by_pivots(own, whole):
+            yield own.root[x], own.root[y]
+
+
+def by_pivots(rows: Rows, whole: bool = True, pivots: int = PIVOTS, ball: int = BALL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs of different roots in one bucket, whose rows are sorted by root: large groups get more pivots."""
+    left = np.arange(len(rows.node))
+    while n := len(left):
+        chosen = np.unique(np.linspace(0, n - 1, max(pivots, min(n // 8, GRID // n))).astype(np.int64))
+        table = grid(rows.fp[left[chosen]], rows.fp[left])
+        rest = np.ones(n, bool)
+        rest[chosen] = False
+        p, x = np.nonzero(table <= rows.reach[left].max())
+        keep = (chosen[p] != x) & rows.near(left[chosen[p]], left[x], table[p, x])
+        p, x = p[keep], x[keep]
+        a, b = left[chosen[p]], left[x]
+        keep = (rest[x] | (chosen[p] < x)) & (rows.root[a] != rows.root[b])
+        yield a[keep], b[keep]
+        inside = rest[x] & (table[p, x] <= ball)
+        member, at = np.unique(x[inside], return_index=True)  # a row in several balls goes to the first
+        owner = p[inside][at]
+        for k in np.unique(owner).tolist():
+            own, to = member[owner == k], table[k]
+            rest[own] = False
+            others = rest & (to <= to[own].max() + np.maximum(rows.reach[left[own]].max(), rows.reach[left]))
+            if whole:
+                yield from compared(rows, left[own])
+            else:
+                others[x[p == k]] = False
+            yield from compared(rows, left[own], left[others])
+        left = left[rest]
+
+
+def compared(rows: Rows, left: np.ndarray, right: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs of different roots: of the rows at `left`, sorted by root, with those at `right`, else with one another."""
+    if right is None:
+        root = rows.root[left]
+        right, beyond = left, np.searchsorted(root, root, side="right")  # the first of the next root
+    else:
+        beyond = np.zeros(len(left), np.int64)
+    i, n = 0, len(left)
+    while i < n and beyond[i] < len(right):
+        after = int(beyond[i])
+        j = min(n, i + max(1, GRID // (len(right) - after)))
+        own, others = left[i:j], right[after:]
+        d = grid(rows.fp[own], rows.fp[others])
+        x, y = np.nonzero(d <= max(rows.reach[own].max(), rows.reach[others].max()))
+        d, keep = d[x, y], y + after >= beyond[i + x]
+        x, y = own[x], others[y]
+        keep &= (rows.root[x] != rows.root[y]) & rows.near(x, y, d)
+        yield x[keep], y[keep]
+        i = j
 
 
 def woods(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
@@ -259,9 +319,9 @@ def candidates(nodes: DataFrame, total: int, similarity: float = SIMILARITY, rec
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in stretches(batches):
-            key, node, root, size = (pdf[c].to_numpy(np.int64) for c in fields[:4])
-            rows = Rows(node, root, size, np.ascontiguousarray(pdf[fields[4:]].to_numpy(np.int64)).view(np.uint64), similarity)
-            yield woods(all_pairs(key, rows))
+            key, root, size = (pdf[c].to_numpy(np.int64) for c in ("key", "root", "size"))
+            rows = Rows(root, root, size, np.ascontiguousarray(pdf[fields[4:]].to_numpy(np.int64)).view(np.uint64), similarity)
+            yield woods(all_pairs(key, rows, whole=False))
 
     schema = ", ".join(f"{c} long" for c in fields)
     some = nodes.where(F.pmod(F.xxhash64("node", F.lit("count")), F.lit(COUNTED)) == 0)
@@ -278,7 +338,7 @@ def links(fp: np.ndarray, sets: list[np.ndarray], side: np.ndarray, similarity:
     found, block = [], max(1, HELD // max(1, len(right)))
     for at in range(0, len(left), block):
         own = left[at : at + block]
-        d = apart(fp[own, None], fp[right])
+        d = grid(fp[own], fp[right])
         x, y = np.nonzero(rows.near(own[:, None], right[None], d) & (side.any() | (own[:, None] < right[None])))
         found.append(np.stack((d[x, y], own[x], right[y])))
     d, x, y = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)

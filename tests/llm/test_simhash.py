@@ -242,3 +242,43 @@ def test_plan_holds_for_one_fingerprint(n):
     d = rng.binomial(width, np.arccos(2 * 0.8 / 1.8) / np.pi, 40_000)
     agree = np.prod([(width - d - i) / (width - i) for i in range(bits)], 0)
     assert ((1 - agree) ** tables).mean() < 0.001
+
+
+def bucket_of_groups(seed, sizes, share):
+    """Rows of one bucket: groups of fingerprints that differ from their group's centre in that share of the bits."""
+    rng = np.random.default_rng(seed)
+    bits = np.concatenate([np.repeat(rng.integers(0, 2, (1, 64 * near_dup.SENT), dtype=np.uint8), n, 0) for n in sizes])
+    bits ^= (rng.random(bits.shape) < share).astype(np.uint8)
+    fp = np.packbits(bits[rng.permutation(len(bits))], axis=1, bitorder="little").view("<u8")
+    return rng, np.ascontiguousarray(fp)
+
+
+@pytest.mark.parametrize("share", [0.02, 0.06, 0.1, 0.2])
+@pytest.mark.parametrize("joined", [False, True])
+def test_pivot_tables_lose_no_pair(share, joined):
+    rng, fp = bucket_of_groups(int(share * 100), [70, 40, 9, *[1] * 120], share)
+    n = len(fp)
+    root, size = rng.integers(0, n // 2, n) if joined else np.arange(n), rng.choice([10, 50, 55, 70], n)
+    rows = near_dup.Rows(np.arange(n), root, size, fp)
+    i, j = np.triu_indices(n, 1)
+    keep = (root[i] != root[j]) & rows.near(i, j)
+    want = sorted((min(p), max(p)) for p in zip(root[i[keep]].tolist(), root[j[keep]].tolist(), strict=True))
+    pairs = lambda whole: [p for a, b in near_dup.all_pairs(root * 0, rows, whole=whole) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert sorted((min(p), max(p)) for p in pairs(True)) == want and len(want) > 20
+    parts = lambda e: sorted(zip(*(x.tolist() for x in graph.forest(*(np.array(y, np.int64) for y in zip(*e, strict=True)))), strict=True))
+    assert parts(pairs(False)) == parts(want)
+
+
+def test_pivot_tables_discard_pairs(monkeypatch):
+    """A group is settled by its pivots; by the triangle inequality other groups aren't compared with it."""
+    _, fp = bucket_of_groups(1, [400, 400, 400, 400], 0.04)
+    rows, taken, real = near_dup.Rows(np.arange(1600), np.arange(1600), np.full(1600, 50), fp), [], near_dup.grid
+    monkeypatch.setattr(near_dup, "grid", lambda a, b: taken.append(len(a) * len(b)) or real(a, b))
+    found = near_dup.woods(near_dup.all_pairs(rows.node * 0, rows, whole=False))
+    assert len(found) == 1596 and found["b"].nunique() == 4
+    assert sum(taken) < 1600 * 1599 / 2 / 8
+
+
+def test_grid():
+    _, fp = bucket_of_groups(2, [3, 4], 0.1)
+    assert np.array_equal(near_dup.grid(fp, fp[:5]), near_dup.apart(fp[:, None], fp[:5]))
