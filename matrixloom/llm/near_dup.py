@@ -5,8 +5,8 @@ fingerprint can promise. So a text gets 1024 bits (sixteen hashes of each shingl
 of sampled bits that a pair at the similarity asked for becomes a candidate with probability RECALL:
 all tables sample one fingerprint, so their number follows from how many of its bits may differ. Rows
 of a bucket within REACH differing bits of the first SENT words are candidates, and every candidate pair is verified by the
-exact Jaccard similarity of the two whole texts' shingle sets. The bits of a key grow with the
-logarithm of the corpus, and the tables with them, so the work a document costs hardly grows.
+exact Jaccard similarity of the two whole texts' shingle sets. Every table sends a row once more, and
+comparing costs little, so keys are short: BUCKET texts or fewer share one by chance, LEAST_BITS bits at least.
 
 What is near in a bucket of over WIDE rows is told from pivot distance tables. Pivots are rows of the bucket itself, PIVOTS or
 more at a time (drawn at random they would discard nothing: all rows lie half the bits away from them), and
@@ -54,8 +54,10 @@ WORDS = 16
 #: half. Texts of less than SHORT shingles differ in more (measured: 0.19 for four shared of five).
 SENT, REACH, WIDE_REACH, FEW = 4, 62, 205, 1.02
 SHORT, SHORT_REACH, SHORT_WIDE_REACH = 16, 86, 260
+#: Texts that share a key by chance, at most, and bits of a key, at least.
+BUCKET, LEAST_BITS = 4096, 8
 #: Tables of the first pass; rows over which a bucket is dealt in parts, one row in COUNTED of which is counted.
-FIRST, SPLIT, COUNTED = 8, 8192, 16
+FIRST, SPLIT, COUNTED = 4, 8192, 16
 #: Rows of a bucket up to which those of many buckets are compared at once; comparisons and pairs held; comparisons at once.
 WIDE, HELD, GRID = 32, 1 << 20, 1 << 16
 #: Pivots of a table at least, and the most that a ball's radius is.
@@ -111,9 +113,10 @@ def apart_share(similarity: float) -> float:
     return FEW * math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def plan(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
-    """Bits of a key and number of tables for n texts, with room for the pairs beyond REACH."""
-    bits = max(14, math.ceil(math.log2(max(2, n))) - 3)
+def plan(n: int, similarity: float = SIMILARITY, recall: float = RECALL, bucket: int = 8, least: int = 14) -> tuple[int, int]:
+    """Bits of a key (`least` or more) and number of tables for n texts, of which `bucket` or fewer share a key by
+    chance, with room for the pairs beyond REACH."""
+    bits = max(least, math.ceil(math.log2(max(2, n))) - int(math.log2(bucket)))
     share = apart_share(similarity)
     wanted = recall + float(differing(64 * SENT, share)[REACH + 1 :].sum() + differing(64 * WORDS, share)[WIDE_REACH + 1 :].sum())
     if wanted >= 1:
@@ -301,7 +304,7 @@ def large_buckets(some: DataFrame, split: int, counted: int = COUNTED) -> DataFr
 def candidates(nodes: DataFrame, total: int, similarity: float = SIMILARITY, recall: float = RECALL, split: int | None = None, first: int = 0) -> DataFrame:
     """nodes: node, root (of what is joined already), size, fp, each once. Returns edges a, b between roots that have
     near pairs, with the same components as all such pairs have; with `first`, by so many tables."""
-    bits, tables = plan(total, similarity, recall)
+    bits, tables = plan(total, similarity, recall, BUCKET, LEAST_BITS)
     tables = min(first or tables, tables)
     chosen = table_bits(bits, tables)
     weight = 1 << np.arange(bits, dtype=np.int64)
@@ -326,7 +329,7 @@ def candidates(nodes: DataFrame, total: int, similarity: float = SIMILARITY, rec
     schema = ", ".join(f"{c} long" for c in fields)
     some = nodes.where(F.pmod(F.xxhash64("node", F.lit("count")), F.lit(COUNTED)) == 0)
     rows = parted(nodes.mapInPandas(keys, schema), large_buckets(some.mapInPandas(keys, schema), split), bool(first))
-    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(pairs, "a long, b long").distinct()
+    return rows.drop("node").repartition("key").sortWithinPartitions("key").mapInPandas(pairs, "a long, b long").distinct()
 
 
 def links(fp: np.ndarray, sets: list[np.ndarray], side: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:

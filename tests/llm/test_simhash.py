@@ -282,3 +282,15 @@ def test_pivot_tables_discard_pairs(monkeypatch):
 def test_grid():
     _, fp = bucket_of_groups(2, [3, 4], 0.1)
     assert np.array_equal(near_dup.grid(fp, fp[:5]), near_dup.apart(fp[:, None], fp[:5]))
+
+
+@pytest.mark.parametrize("n", [45_000, 226_000, 13_600_000])
+def test_short_keys_hold_the_recall_and_send_few_rows(n):
+    bits, tables = near_dup.plan(n, bucket=near_dup.BUCKET, least=near_dup.LEAST_BITS)
+    width = 64 * near_dup.WORDS
+    differ = np.random.default_rng(1).random((20_000, width)) < np.arccos(2 * 0.8 / 1.8) / np.pi
+    missed = np.ones(len(differ), bool)
+    for chosen in near_dup.table_bits(bits, tables):
+        missed &= differ[:, chosen].any(1)
+    assert missed.mean() < 0.001 and tables < 60
+    assert n / 2**bits <= near_dup.BUCKET
