@@ -35,7 +35,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
+    """Keeps one document of each group of near copies, by SimHash with pivot distance tables."""
     small_batches(spark)
     return near_dup.drop_near_duplicates(docs)
 
