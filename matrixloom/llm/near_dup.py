@@ -190,10 +190,14 @@ def all_pairs(key: np.ndarray, rows: Rows, wide: int = WIDE, whole: bool = True)
 
 
 def by_pivots(rows: Rows, whole: bool = True, pivots: int = PIVOTS, ball: int = BALL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Near pairs of different roots in one bucket, whose rows are sorted by root: large groups get more pivots."""
+    """Near pairs of different roots in one bucket, whose rows are sorted by root: large groups get more pivots. Rows of
+    the largest root, which need not meet one another, are no pivots."""
     left = np.arange(len(rows.node))
-    while n := len(left):
-        chosen = np.unique(np.linspace(0, n - 1, max(pivots, min(n // 8, GRID // n))).astype(np.int64))
+    roots, counts = np.unique(rows.root, return_counts=True)
+    largest = rows.root == roots[counts.argmax()]
+    while len(few := np.flatnonzero(~largest[left])):
+        n = len(left)
+        chosen = few[np.unique(np.linspace(0, len(few) - 1, max(pivots, min(n // 8, GRID // n))).astype(np.int64))]
         table = grid(rows.fp[left[chosen]], rows.fp[left])
         rest = np.ones(n, bool)
         rest[chosen] = False

@@ -279,6 +279,14 @@ def test_pivot_tables_discard_pairs(monkeypatch):
     assert sum(taken) < 1600 * 1599 / 2 / 8
 
 
+def test_rows_of_the_largest_root_are_not_compared(monkeypatch):
+    _, fp = bucket_of_groups(4, [1] * 2000, 0)
+    rows, taken, real = near_dup.Rows(np.arange(2000), np.arange(2000).clip(1900), np.full(2000, 50), fp), [], near_dup.grid
+    monkeypatch.setattr(near_dup, "grid", lambda a, b: taken.append(len(a) * len(b)) or real(a, b))
+    assert not len(near_dup.woods(near_dup.all_pairs(rows.node * 0, rows, whole=False)))
+    assert 99 * 1901 <= sum(taken) < 2000 * 1999 / 2 / 8
+
+
 def test_grid():
     _, fp = bucket_of_groups(2, [3, 4], 0.1)
     assert np.array_equal(near_dup.grid(fp, fp[:5]), near_dup.apart(fp[:, None], fp[:5]))
